@@ -95,17 +95,16 @@ def term_counts(spark, sf_dir):
 )
 def vocabulary(spark, sf_dir):
     df = inputs.documents(spark, sf_dir).select(ft.word_tokens("text").alias("tokens"))
-    return ft.fit_vocabulary(df)
+    return ft.vocabulary_table(spark, ft.fit_vocabulary(df)).drop("idx")
 
 
 def _count_model(df):
     """Pipeline from ``text`` to the tf vector, with its vocabulary table of indexed terms."""
     stages = [md.token_stage("text")]
     vocabulary = ft.fit_vocabulary(stages[0].transform(df.select("text")), "tokens")
-    terms = ft.terms_of(vocabulary)
-    stages += [md.gram_stage(3), ft.count_vectorizer(terms)]
-    index = df.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
-    return PipelineModel(stages), F.broadcast(index.coalesce(1))
+    stages += [md.gram_stage(3), ft.count_vectorizer(vocabulary)]
+    index = ft.vocabulary_table(df.sparkSession, vocabulary).select("idx", "term")
+    return PipelineModel(stages), F.broadcast(index)
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textprep.operators.features import fit_vocabulary, word_tokens
+from textprep.operators.features import fit_vocabulary, vocabulary_table, word_tokens
 
 MAX_LENGTH = 128
 
@@ -25,9 +25,8 @@ def fit_ids(df: DataFrame, text: str = "text", size: int = 5000) -> DataFrame:
     """Corpus vocabulary ``term, id``: the most frequent words, ids from 4 by rank."""
     tokens = df.select(piece_tokens(text).alias("tokens"))
     vocabulary = fit_vocabulary(tokens, "tokens", size, max_n=1)
-    ordered = [r["term"] for r in vocabulary.orderBy(F.desc("total"), "term").collect()]
-    rows = [(term, FIRST_WORD_ID + i) for i, term in enumerate(ordered)]
-    return df.sparkSession.createDataFrame(rows, "term string, id int").coalesce(1)
+    ids = (F.col("idx") + FIRST_WORD_ID).alias("id")
+    return vocabulary_table(df.sparkSession, vocabulary).select("term", ids)
 
 
 def pad(ids: Column, max_length: int = MAX_LENGTH) -> Column:

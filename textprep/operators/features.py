@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.functions.text import WORD
 
 MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 3)
 
-VOCABULARY_SCHEMA = T.StructType(
-    [
-        T.StructField("term", T.StringType(), False),
-        T.StructField("n", T.IntegerType(), False),
-        T.StructField("total", T.LongType(), False),
-    ]
-)
+
+class Term(NamedTuple):
+    """A vocabulary entry: an n-gram, its length in words and its corpus count."""
+
+    term: str
+    n: int
+    total: int
 
 
 def token_pattern(min_chars: int = 2, keep_marks: bool = False) -> str:
@@ -60,14 +63,10 @@ def term_counts(df: DataFrame, doc_id: str, grams: str = "grams") -> DataFrame:
     return exploded.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _top(counts: DataFrame, size: int) -> list:
+def _top(counts: DataFrame, size: int) -> list[Term]:
     """Most frequent terms; ties go to the shorter n-gram, then to the lower term."""
-    return counts.orderBy(F.desc("total"), "n", "term").limit(size).collect()
-
-
-def _floor(top: list, size: int) -> int:
-    """A longer n-gram must be more frequent than this to enter a full list."""
-    return top[-1]["total"] if len(top) == size else 0
+    best = counts.orderBy(F.desc("total"), "n", "term").limit(size)
+    return [Term(*row) for row in best.select("term", "n", "total").collect()]
 
 
 def fit_vocabulary(
@@ -75,8 +74,8 @@ def fit_vocabulary(
     tokens: str = "tokens",
     max_features: int = MAX_FEATURES,
     max_n: int = NGRAM_RANGE[1],
-) -> DataFrame:
-    """The ``max_features`` most frequent 1..max_n-grams: ``term, n, total``, best first.
+) -> list[Term]:
+    """The ``max_features`` most frequent 1..max_n-grams, best first.
 
     Counting all n-grams would shuffle nearly every trigram of the corpus, as most are unique.
     An n-gram is never more frequent than the two (n-1)-grams it consists of, so each pass counts
@@ -90,46 +89,55 @@ def fit_vocabulary(
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
     top = _top(counts.withColumn("n", F.lit(1)), max_features)
     for n in range(2, max_n + 1):
-        floor = _floor(top, max_features)
-        parts = [(r["term"],) for r in top if r["n"] == n - 1 and r["total"] > floor]
+        floor = top[-1].total if len(top) == max_features else 0
+        parts = [t.term for t in top if t.n == n - 1 and t.total > floor]
         if not parts:
             break
-        part = spark.createDataFrame(parts, "part string")
-        # Row i of the zipped slices is the window of n words that starts at word i.
-        words_at = [
-            F.slice(tokens, F.lit(k + 1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-            for k in range(n)
-        ]
-        w = [f"w{k}" for k in range(n)]
-        windows = df.select(F.inline(F.arrays_zip(*words_at)).alias(*w))
-        windows = windows.select(
-            F.concat_ws(" ", *w[:-1]).alias("head"),
-            F.concat_ws(" ", *w[1:]).alias("tail"),
-            w[-1],
-        )
-        frequent = windows.join(
-            F.broadcast(part.withColumnRenamed("part", "head")), "head", "left_semi"
-        ).join(F.broadcast(part.withColumnRenamed("part", "tail")), "tail", "left_semi")
+        frequent = _windows_of(df, tokens, n)
+        for side in ("head", "tail"):
+            part = spark.createDataFrame(pa.table({side: parts}))
+            frequent = frequent.join(F.broadcast(part), side, "left_semi")
         counts = (
-            frequent.groupBy("head", w[-1])
+            frequent.groupBy("head", "last")
             .agg(F.count(F.lit(1)).alias("total"))
-            .select(F.concat_ws(" ", "head", w[-1]).alias("term"), "total", F.lit(n).alias("n"))
+            .select(F.concat_ws(" ", "head", "last").alias("term"), F.lit(n).alias("n"), "total")
         )
         merged = top + _top(counts, max_features)
-        merged.sort(key=lambda r: (-r["total"], r["n"], r["term"].encode()))
+        merged.sort(key=lambda t: (-t.total, t.n, t.term.encode()))
         top = merged[:max_features]
-    rows = [(r["term"], r["n"], r["total"]) for r in top]
-    return spark.createDataFrame(rows, VOCABULARY_SCHEMA).coalesce(1)
+    return top
+
+
+def _windows_of(df: DataFrame, tokens: str, n: int) -> DataFrame:
+    """Each run of n words as ``head`` (all but the last), ``tail`` (all but the first), ``last``."""
+    length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = [F.slice(tokens, F.lit(k + 1), length) for k in range(n)]
+    words = [f"w{k}" for k in range(n)]
+    return df.select(F.inline(F.arrays_zip(*shifted)).alias(*words)).select(
+        F.concat_ws(" ", *words[:-1]).alias("head"),
+        F.concat_ws(" ", *words[1:]).alias("tail"),
+        F.col(words[-1]).alias("last"),
+    )
 
 
-def terms_of(vocabulary: DataFrame) -> list[str]:
-    """Vocabulary terms in index order (bounded by its ``max_features``)."""
-    rows = vocabulary.orderBy(F.desc("total"), "n", "term").select("term").collect()
-    return [r["term"] for r in rows]
+def vocabulary_table(spark: SparkSession, vocabulary: list[Term]) -> DataFrame:
+    """``idx, term, n, total`` for joins; as long as the vocabulary, so it may be broadcast."""
+    columns = list(zip(*vocabulary)) or [(), (), ()]
+    return spark.createDataFrame(
+        pa.table(
+            {
+                "idx": pa.array(range(len(vocabulary)), pa.int32()),
+                "term": pa.array(columns[0], pa.string()),
+                "n": pa.array(columns[1], pa.int32()),
+                "total": pa.array(columns[2], pa.int64()),
+            }
+        )
+    )
 
 
-def count_vectorizer(terms: list[str], grams: str = "grams") -> CountVectorizerModel:
+def count_vectorizer(vocabulary: list[Term], grams: str = "grams") -> CountVectorizerModel:
     """Term counts by index as a sparse vector, within each row: no shuffle."""
+    terms = [t.term for t in vocabulary]
     return CountVectorizerModel.from_vocabulary(terms, inputCol=grams, outputCol="tf")
 
 

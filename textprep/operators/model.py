@@ -15,11 +15,12 @@ from textprep.operators.features import (
     fit_idf,
     fit_vocabulary,
     idf_stages,
-    terms_of,
 )
 from textprep.operators.metrics import with_class_weight
 from textprep.schema import BINARY_LABELS
 
+ROWS_PER_TASK = 10_000
+
 
 def token_stage(text: str) -> SQLTransformer:
     pattern = f"[{WORD}]{{2,}}".replace("\\", "\\\\")
@@ -53,7 +54,7 @@ def fit_features(
     stages = [token_stage(text)]
     tokens = stages[0].transform(train.select(text))
     vocabulary = fit_vocabulary(tokens, "tokens", max_features, max_n)
-    stages += [gram_stage(max_n), count_vectorizer(terms_of(vocabulary))]
+    stages += [gram_stage(max_n), count_vectorizer(vocabulary)]
     counts = PipelineModel(stages).transform(train.select(text))
     stages += idf_stages(fit_idf(counts.select("tf")))
     return PipelineModel(stages)
@@ -75,12 +76,16 @@ def fit_classifier(
         F.col(label).cast("double").alias(label), "features", "weight"
     )
     n = train.where(F.col(label).isin(*BINARY_LABELS)).count()
+    # Each iteration runs one task per partition; small training sets get by with fewer of them.
+    partitions = max(1, n // ROWS_PER_TASK)
+    if partitions < weighted.sparkSession.sparkContext.defaultParallelism:
+        weighted = weighted.repartition(partitions)
     lr = LogisticRegression(
         featuresCol="features",
         labelCol=label,
         weightCol="weight",
         maxIter=max_iter,
-        tol=1e-4,
+        tol=1e-6,
         regParam=1.0 / (c * n),
         elasticNetParam=0.0,
         standardization=False,
