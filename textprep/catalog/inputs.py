@@ -6,6 +6,8 @@ rewritten by rule into the shapes the operators work on. Every view keeps all ro
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.functions import lexicons
@@ -199,15 +201,18 @@ VIEWS["messy"] = f"""
     FROM documents"""
 
 
-def messy(spark, sf_dir) -> DataFrame:
-    body = F.replace("text", F.lit(". "), F.lit(". \t"))
+def untidy(text: Column | str = "text") -> Column:
+    body = F.replace(text, F.lit(". "), F.lit("." + chr(8195) + chr(9)))
     body = F.replace(body, F.lit(", "), F.lit(_COMMA))
-    text = F.concat(F.lit("  "), body, F.lit(" 　"))
-    return documents(spark, sf_dir).select("doc_id", "lang", text.alias("text"))
+    return F.concat(F.lit(chr(160) + " "), body, F.lit(" " + chr(12288)))
+
+
+def messy(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "lang", untidy().alias("text"))
 
 
 # Precomposed letter -> base letter and combining mark.
-_DECOMPOSED = {"é": "é", "ö": "ö", "ñ": "ñ", "ç": "ç"}
+_DECOMPOSED = {c: unicodedata.normalize("NFD", c) for c in map(chr, (0xE9, 0xF6, 0xF1, 0xE7))}
 
 
 def _decompose(c: Column) -> Column:

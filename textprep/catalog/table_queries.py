@@ -469,9 +469,9 @@ def parse_and_relabel(spark, sf_dir):
 def clean_table(spark, sf_dir):
     """Header table with columns to be found by name; both class names contain "hope"."""
     name = inputs.name_of("label", "not-malayalam").alias("hope_label")
-    named = inputs.corpus(spark, sf_dir).select("doc_id", name)
-    comments = inputs.messy(spark, sf_dir).select("doc_id", F.col("text").alias("comment_text"))
-    return jobs.clean_table(comments.join(named, "doc_id"), "malayalam", "doc_id")
+    comment = inputs.untidy().alias("comment_text")
+    named = inputs.corpus(spark, sf_dir).select("doc_id", comment, name)
+    return jobs.clean_table(named, "malayalam", "doc_id")
 
 
 @query(

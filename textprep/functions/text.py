@@ -70,6 +70,20 @@ def clean_text(
     return strip(lower_for_language(c, lang, language))
 
 
+def leaves_text(c: Column | str, keep_blocks=(MALAYALAM_BLOCK, TAMIL_BLOCK)) -> Column:
+    """True where :func:`clean_text` leaves more than whitespace.
+
+    A filter on the cleaned column would be pushed below it and clean every text twice. Nearly
+    always an early character settles it: one that is kept, with nothing before it that could
+    begin a URL or a mention. Only the other texts are cleaned for the test.
+    """
+    c = _column(c)
+    kept = f"{WORD}{block_class(keep_blocks)}"
+    early = c.rlike(f"^[^@#hw]*?[{kept}&&[^hw]]")
+    rest = remove_symbols(remove_mentions(remove_urls(strip(c))), keep_blocks)
+    return F.when(early, F.lit(True)).otherwise(is_not_blank(rest))
+
+
 def nfc(c: Column | str) -> Column:
     """Unicode NFC through the ICU library that Spark ships; ASCII values are passed through."""
     c = _column(c)

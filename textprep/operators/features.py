@@ -52,6 +52,16 @@ def ngrams(tokens: Column | str, ngram_range: tuple[int, int] = NGRAM_RANGE) ->
     return F.concat(*[_ngrams_of(tokens, n) for n in range(low, high + 1)])
 
 
+def _explode(df: DataFrame, terms: str, *keep: str) -> DataFrame:
+    """One row per array element.
+
+    ``explode`` would make the optimizer add ``size(terms) > 0`` below, which runs the tokenizer a
+    second time; ``explode_outer`` does not, and the rows of empty arrays are dropped here.
+    """
+    exploded = df.select(*keep, F.explode_outer(terms).alias("term"))
+    return exploded.where(F.col("term").isNotNull())
+
+
 def term_counts(df: DataFrame, doc_id: str, grams: str = "grams") -> DataFrame:
     """(document, term, tf) over every term.
 
@@ -59,7 +69,7 @@ def term_counts(df: DataFrame, doc_id: str, grams: str = "grams") -> DataFrame:
     needs no exchange of the much longer list of terms.
     """
     placed = df.select(doc_id, grams).repartition(doc_id)
-    exploded = placed.select(doc_id, F.explode(grams).alias("term"))
+    exploded = _explode(placed, grams, doc_id)
     return exploded.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -85,7 +95,7 @@ def fit_vocabulary(
     """
     spark = df.sparkSession
     df = df.select(tokens)
-    words = df.select(F.explode(tokens).alias("term"))
+    words = _explode(df, tokens)
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
     top = _top(counts.withColumn("n", F.lit(1)), max_features)
     for n in range(2, max_n + 1):
@@ -145,7 +155,8 @@ def vector_entries(df: DataFrame, vector: str, *keep: str) -> DataFrame:
     """One row per stored entry of a sparse vector: ``idx, value``."""
     v = F.unwrap_udt(vector)
     zipped = F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("value"))
-    return df.select(*keep, F.inline(zipped).alias("idx", "value"))
+    entries = df.select(*keep, F.inline_outer(zipped).alias("idx", "value"))
+    return entries.where(F.col("idx").isNotNull())
 
 
 def document_frequency(df: DataFrame, vector: str = "tf") -> DataFrame:

@@ -20,13 +20,14 @@ from textprep.functions.labels import (
 from textprep.functions.lexicons import TAMIL_HOPE_WORD, TAMIL_NEGATIONS
 from textprep.functions.phrases import apply_rules
 from textprep.functions.scripts import script_variant
-from textprep.functions.text import clean_text, is_not_blank, strip
+from textprep.functions.text import clean_text, leaves_text, strip
 from textprep.operators.combine import SOURCE_RANK, clean_dataframe, keep_labels, union_sources
 from textprep.operators.encode import encode_ids, fit_ids
 from textprep.operators.metrics import classification_report
 from textprep.operators.model import fit_baseline, predict
 from textprep.operators.sampling import SEED, balance, stratified_split
 from textprep.schema import detect_text_and_label, label_codes
+from textprep.sources.files import materialize
 
 
 def parse_lines(lines: DataFrame, codes: Mapping[str, int], raw: str = "raw") -> DataFrame:
@@ -75,12 +76,12 @@ def clean_table(df: DataFrame, language: str, *keep: str) -> DataFrame:
     """Find text and label columns, clean and encode them, drop blank texts."""
     candidates = [c for c in df.columns if c not in keep]
     text, label = detect_text_and_label(candidates)
-    cleaned = df.select(
+    raw = F.coalesce(F.col(text), F.lit(""))
+    return df.where(leaves_text(raw)).select(
         *keep,
-        clean_text(F.coalesce(text, F.lit("")), F.lit(language)).alias("text"),
+        clean_text(raw, F.lit(language)).alias("text"),
         encode_label(F.col(label).cast("string")).alias("label"),
     )
-    return cleaned.where(is_not_blank("text"))
 
 
 def prepare(
@@ -115,7 +116,7 @@ def encode_splits(
     The vocabulary is fitted on the training split.
     """
     df = df.withColumn("text", strip(F.coalesce("text", F.lit("")))).where(F.length("text") > 0)
-    split = stratified_split(df, [doc_id], fraction, seed=seed)
+    split = materialize(stratified_split(df, [doc_id], fraction, seed=seed), "split")
     ids = fit_ids(split.where(F.col("split") == "train"), size=vocabulary_size)
     encoded = encode_ids(split, ids, doc_id, max_length=max_length)
     return encoded.withColumnRenamed("label", "labels")
@@ -148,10 +149,13 @@ def train_baseline(
 
     train = ready(train)
     if dev is None:
-        split = stratified_split(train, ids, fraction, seed=seed)
+        columns = [*dict.fromkeys([*ids, "text", "label"])]
+        split = stratified_split(train.select(*columns), ids, fraction, seed=seed)
+        split = materialize(split, "baseline")
         dev = split.where(F.col("split") == "validation").drop("split")
         train = split.where(F.col("split") == "train").drop("split")
     else:
+        train = materialize(train.select("text", "label"), "baseline")
         dev = ready(dev)
     model = fit_baseline(train, max_features=max_features)
     evaluated = {"dev": dev} if test is None else {"dev": dev, "test": ready(test)}

@@ -120,3 +120,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{base.rstrip('/')}/textprep-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back.
+
+    For tables that several passes read: their lineage is not run again, and it survives the loss
+    of executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
