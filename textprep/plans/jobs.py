@@ -46,9 +46,12 @@ def parse_and_balance(
     language: str = "english",
     seed: int = SEED,
 ) -> DataFrame:
-    """Parse, keep the two classes and balance them."""
-    parsed = parse_lines(lines, label_codes(language))
-    return balance(keep_labels(parsed), ids, strategy, seed=seed)
+    """Parse, keep the two classes and balance them.
+
+    The parsed table is written once; the counting passes then read only ids and labels.
+    """
+    parsed = keep_labels(parse_lines(lines, label_codes(language)))
+    return balance(materialize(parsed, "parsed"), ids, strategy, seed=seed)
 
 
 def parse_and_relabel(
