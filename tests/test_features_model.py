@@ -51,8 +51,15 @@ def corpus(spark, texts):
 def test_tokens_and_ngrams(apply, texts):
     values = [t or "" for t in texts]
     assert apply(ft.word_tokens, values) == [tokens(t) for t in values]
-    assert apply(lambda c: ft.ngrams(ft.word_tokens(c)), values) == [grams(t) for t in values]
-    assert apply(lambda c: ft.ngrams(ft.word_tokens(c), (2, 2)), ["aa bb cc"]) == [["aa bb", "bb cc"]]
+
+
+def test_ngrams(spark, texts):
+    values = [t or "" for t in texts]
+    df = spark.createDataFrame([(i, tokens(t)) for i, t in enumerate(values)], "i int, t array<string>")
+    got = df.select("i", ft.ngrams("t").alias("g"), ft.ngrams("t", (2, 2)).alias("two")).orderBy("i")
+    for row, text in zip(got.collect(), values):
+        assert row.g == grams(text)
+        assert row.two == [g for g in grams(text) if g.count(" ") == 1]
 
 
 def test_indic_tokens(apply):
@@ -83,7 +90,8 @@ def test_empty_vocabulary(spark):
 
 
 def test_term_counts(corpus, texts):
-    df = corpus.select("doc_id", ft.ngrams(ft.word_tokens(F.coalesce("text", F.lit("")))).alias("grams"))
+    df = corpus.select("doc_id", ft.word_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    df = df.select("doc_id", ft.ngrams("tokens").alias("grams"))
     got = {(r.doc_id, r.term): r.tf for r in ft.term_counts(df, "doc_id").collect()}
     want = {(i, g): c for i, t in enumerate(texts) for g, c in Counter(grams(t or "")).items()}
     assert got == want

@@ -30,8 +30,7 @@ def script_variant(c: Column | str, script: str | tuple[int, int]) -> Column:
     block = SCRIPT_BLOCKS[script] if isinstance(script, str) else script
     native, latin = has_char_in_range(c, *block), has_latin(c)
     return (
-        F.when(native & latin, "mixed")
-        .when(native, "native")
+        F.when(native, F.when(latin, "mixed").otherwise("native"))
         .when(latin, "romanized")
         .otherwise("unknown")
     )

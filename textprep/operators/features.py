@@ -34,22 +34,20 @@ def word_tokens(c: Column | str, min_chars: int = 2, keep_marks: bool = False) -
     return F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
 
 
-def _ngrams_of(tokens: Column, n: int) -> Column:
-    """Contiguous n-grams of one length, joined by a space."""
-    if n == 1:
-        return tokens
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
-def ngrams(tokens: Column | str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> Column:
-    """All n-grams with n in ``ngram_range``, shorter ones first."""
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    low, high = ngram_range
-    return F.concat(*[_ngrams_of(tokens, n) for n in range(low, high + 1)])
+def ngrams_sql(tokens: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> str:
+    """SQL expression for all n-grams of an array column, shorter ones first."""
+    parts = []
+    for n in range(ngram_range[0], ngram_range[1] + 1):
+        words = ", ".join(f"{tokens}[i + {k}]" for k in range(n))
+        window = f"transform(sequence(0, size({tokens}) - {n}), i -> concat_ws(' ', {words}))"
+        none = "cast(array() AS array<string>)"
+        parts.append(tokens if n == 1 else f"if(size({tokens}) < {n}, {none}, {window})")
+    return f"concat({', '.join(parts)})"
+
+
+def ngrams(tokens: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> Column:
+    """All n-grams of an array column with n in ``ngram_range``, joined by a space."""
+    return F.expr(ngrams_sql(tokens, ngram_range))
 
 
 def _explode(df: DataFrame, terms: str, *keep: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
-from textprep.functions.text import WORD
 from textprep.operators.features import (
     MAX_FEATURES,
     NGRAM_RANGE,
@@ -15,6 +14,8 @@ from textprep.operators.features import (
     fit_idf,
     fit_vocabulary,
     idf_stages,
+    ngrams_sql,
+    token_pattern,
 )
 from textprep.operators.metrics import with_class_weight
 from textprep.schema import BINARY_LABELS
@@ -23,25 +24,14 @@ ROWS_PER_TASK = 10_000
 
 
 def token_stage(text: str) -> SQLTransformer:
-    pattern = f"[{WORD}]{{2,}}".replace("\\", "\\\\")
-    return SQLTransformer(
-        statement=(
-            f"SELECT *, regexp_extract_all(lower(coalesce({text}, '')), '{pattern}', 0) "
-            "AS tokens FROM __THIS__"
-        )
-    )
+    pattern = token_pattern().replace("\\", "\\\\")
+    tokens = f"regexp_extract_all(lower(coalesce({text}, '')), '{pattern}', 0)"
+    return SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__")
 
 
 def gram_stage(max_n: int) -> SQLTransformer:
-    parts = ["tokens"] + [
-        f"if(size(tokens) < {n}, cast(array() as array<string>), "
-        f"transform(sequence(1, size(tokens) - {n - 1}), "
-        f"i -> array_join(slice(tokens, i, {n}), ' ')))"
-        for n in range(2, max_n + 1)
-    ]
-    return SQLTransformer(
-        statement=f"SELECT *, concat({', '.join(parts)}) AS grams FROM __THIS__"
-    )
+    grams = ngrams_sql("tokens", (1, max_n))
+    return SQLTransformer(statement=f"SELECT *, {grams} AS grams FROM __THIS__")
 
 
 def fit_features(
