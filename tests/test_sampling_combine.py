@@ -82,6 +82,13 @@ def test_oversample(spark, sizes):
             assert draw == -1
 
 
+def test_salted_draws_are_the_same(spark, monkeypatch):
+    df = labelled(spark, {0: 300, 1: 2})
+    plain = sorted(map(str, sampling.oversample(df, ["id"]).collect()))
+    monkeypatch.setattr(sampling, "DRAWS_PER_KEY", 10)
+    assert sorted(map(str, sampling.oversample(df, ["id"]).collect())) == plain
+
+
 @pytest.mark.parametrize("fraction", [0.1, 0.2, 0.33])
 @pytest.mark.parametrize("sizes", [{0: 401, 1: 58}, {0: 15, 1: 15}, {0: 10, 1: 1}])
 def test_stratified_split(spark, fraction, sizes):

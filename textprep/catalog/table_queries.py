@@ -224,6 +224,29 @@ def prepare_corpus(spark, sf_dir):
     return jobs.prepare(sources, ["doc_id"], script=(0xC0, 0x24F))
 
 
+_FRENCH = sql_variant(r"regexp_matches(text, '[\x{c0}-\x{ff}]')")
+_GERMAN = sql_variant(r"regexp_matches(text, '[\x{df}-\x{fc}]')")
+
+
+@query(
+    _first_sql(sql_normalize("text"), "length(text) > 0 AND label IN (0, 1)")
+    .replace("PARTITION BY text", "PARTITION BY lang, split, text")
+    .replace("norm AS (SELECT doc_id", "norm AS (SELECT doc_id % 10 = 0 AS split, doc_id")
+    .replace(
+        "SELECT doc_id, source_rank, label, text FROM norm",
+        "SELECT doc_id, lang, CASE WHEN split THEN 'dev' ELSE 'train' END AS split, label, text, "
+        f"CASE lang WHEN 'fr' THEN {_FRENCH} WHEN 'de' THEN {_GERMAN} END AS variant FROM norm",
+    )
+)
+def prepare_languages(spark, sf_dir):
+    """Every language and split with its own duplicates, in one shuffle."""
+    split = F.when(F.col("doc_id") % 10 == 0, "dev").otherwise("train")
+    sources = [df.withColumn("split", split) for df in inputs.real_and_synthetic(spark, sf_dir)]
+    blocks = {"fr": (0xC0, 0xFF), "de": (0xDF, 0xFC)}
+    df = jobs.prepare_languages(sources, ["doc_id"], blocks, ["lang", "split"])
+    return df.select("doc_id", "lang", "split", "label", "text", "variant")
+
+
 # --- counts and metrics ------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 from textprep.functions.text import MALAYALAM_BLOCK, TAMIL_BLOCK, block_class
@@ -34,3 +36,14 @@ def script_variant(c: Column | str, script: str | tuple[int, int]) -> Column:
         .when(latin, "romanized")
         .otherwise("unknown")
     )
+
+
+def script_variant_by_language(
+    c: Column | str, lang: Column | str, scripts: Mapping[str, str | tuple[int, int]]
+) -> Column:
+    """The variant for the script of each row's language; null for languages without one."""
+    lang = F.col(lang) if isinstance(lang, str) else lang
+    return F.coalesce(
+        *[F.when(lang == code, script_variant(c, script)) for code, script in scripts.items()],
+        F.lit(None).cast("string"),
+    )

@@ -44,7 +44,11 @@ def clean_dataframe(
     order: Sequence[str | Column],
     text: str = "text",
     label: str = "label",
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Normalize the text, drop empty texts, deduplicate on (text, label) keeping the first row."""
+    """Normalize the text, drop empty texts, deduplicate on (text, label) keeping the first row.
+
+    ``within`` adds columns whose values are deduplicated apart, such as language and split.
+    """
     df = df.withColumn(text, normalize_text(text)).where(F.length(text) > 0)
-    return dedup_first(df, [text, label], order)
+    return dedup_first(df, [*within, text, label], order)

@@ -25,6 +25,8 @@ SEED = 42
 # 16 ** 3 = 4,096 buckets per class: 10 billion rows of a class make 2.4 million rows per task.
 BUCKET_DIGITS = 3
 
+DRAWS_PER_KEY = 100_000
+
 
 def order_key(ids: Sequence[str], seed: int = SEED) -> Column:
     """Pseudo-random order key of a row: ``md5(id|..|seed)`` as hex."""
@@ -215,7 +217,8 @@ def oversample(
 
     The largest class (the lowest label among equals) is kept as it is. ``draw`` numbers the draws
     of a class from 0 and is null for kept rows. The draws come from ``spark.range``, so they are
-    generated in parallel, and spread evenly over the ranks they join.
+    generated in parallel. If a tiny class is drawn very often, its rows are salted: a join key
+    then takes about ``DRAWS_PER_KEY`` draws.
     """
     sizes = class_sizes(df, label, classes)
     df = df.where(F.col(label).isin(*classes))
@@ -225,14 +228,17 @@ def oversample(
     largest = min(c for c, n in sizes.items() if n == n_max)
     result = df.where(F.col(label) == largest).withColumn("draw", F.lit(None).cast("bigint"))
     for value in sorted(c for c in sizes if c != largest):
+        salts = max(1, n_max // (sizes[value] * DRAWS_PER_KEY))
         ranked = distributed_rank(
             df.where(F.col(label) == value), ids, label, seed, rank="_rank"
-        )
+        ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         draws = df.sparkSession.range(n_max).select(
             F.col("id").alias("draw"),
             draw_rank(F.col("id"), F.lit(value), F.lit(sizes[value]), seed).alias("_rank"),
+            (F.col("id") % salts).cast("int").alias("_salt"),
         )
-        result = result.unionByName(draws.join(ranked, "_rank").drop("_rank"))
+        drawn = draws.join(ranked, ["_rank", "_salt"]).drop("_rank", "_salt")
+        result = result.unionByName(drawn)
     return result
 
 

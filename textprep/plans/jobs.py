@@ -19,7 +19,7 @@ from textprep.functions.labels import (
 )
 from textprep.functions.lexicons import TAMIL_HOPE_WORD, TAMIL_NEGATIONS
 from textprep.functions.phrases import apply_rules
-from textprep.functions.scripts import script_variant
+from textprep.functions.scripts import script_variant, script_variant_by_language
 from textprep.functions.text import clean_text, leaves_text, strip
 from textprep.operators.combine import SOURCE_RANK, clean_dataframe, keep_labels, union_sources
 from textprep.operators.encode import encode_ids, fit_ids
@@ -106,6 +106,26 @@ def prepare(
     return df.withColumn("lang", F.lit(lang)) if lang is not None else df
 
 
+# Languages that get a script variant; English gets none.
+LANGUAGE_SCRIPTS = {"ta": "tamil", "ml": "malayalam"}
+
+
+def prepare_languages(
+    sources: Sequence[DataFrame],
+    order: Sequence[str],
+    scripts: Mapping[str, str | tuple[int, int]] = LANGUAGE_SCRIPTS,
+    within: Sequence[str] = ("lang",),
+) -> DataFrame:
+    """:func:`prepare` for several languages (and splits, if ``within`` says so) in one job.
+
+    The sources carry a ``lang`` column. Duplicates are removed within each language only, as
+    separate jobs would do.
+    """
+    merged = keep_labels(union_sources(*sources))
+    df = clean_dataframe(merged, [SOURCE_RANK, *order], within=within).drop(SOURCE_RANK)
+    return df.withColumn("variant", script_variant_by_language("text", "lang", scripts))
+
+
 def encode_splits(
     df: DataFrame,
     doc_id: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -115,10 +116,15 @@ MODEL_COLUMNS = ("input_ids", "attention_mask", "labels")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names."""
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session, where driver and executors share a disk, may go without the setting.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/textprep-{name}-{uuid.uuid4().hex}"
 
 
