@@ -168,7 +168,8 @@ def train_baseline(
     """
 
     def ready(df):
-        return keep_labels(df).fillna("", subset=["text"])
+        df = keep_labels(df).withColumn("label", F.col("label").cast("int"))
+        return df.fillna("", subset=["text"])
 
     train = ready(train)
     if dev is None:
@@ -189,6 +190,23 @@ def train_baseline(
     return Baseline(model, reports)
 
 
+def train_marked_baseline(
+    train: DataFrame,
+    ids: Sequence[str],
+    dev: DataFrame,
+    test: DataFrame | None = None,
+    strategy: str = "under",
+    seed: int = SEED,
+    max_features: int = 5000,
+) -> Baseline:
+    """Derive the labels from markers, balance the training rows and train."""
+    train = materialize(derive_and_filter(train), "derived")
+    balanced = balance(train, ids, strategy, seed=seed)
+    dev = derive_and_filter(dev)
+    test = None if test is None else derive_and_filter(test)
+    return train_baseline(balanced, ids, dev, test, seed=seed, max_features=max_features)
+
+
 def predict_with_rules(
     model: PipelineModel,
     df: DataFrame,
