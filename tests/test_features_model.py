@@ -90,11 +90,12 @@ def test_empty_vocabulary(spark):
 
 
 def test_term_counts(corpus, texts):
-    df = corpus.select("doc_id", ft.word_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    df = df.select("doc_id", ft.ngrams("tokens").alias("grams"))
-    got = {(r.doc_id, r.term): r.tf for r in ft.term_counts(df, "doc_id").collect()}
+    counted = ft.term_counts(corpus, "doc_id")
+    got = {(r.doc_id, r.term): r.tf for r in counted.collect()}
     want = {(i, g): c for i, t in enumerate(texts) for g, c in Counter(grams(t or "")).items()}
     assert got == want
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def expected_tfidf(texts, size):

@@ -42,6 +42,10 @@ def test_one_hot_bucket(spark, digits):
     assert sorted(ranks) == list(range(1, 301))
 
 
+def test_bucket_digits():
+    assert [sampling.bucket_digits(n) for n in (0, 10**8, 10**9, 10**10, 10**13)] == [3, 3, 4, 5, 5]
+
+
 @pytest.mark.parametrize("sizes", [{0: 500, 1: 37}, {0: 37, 1: 500}, {0: 5, 1: 5}, {0: 8}])
 def test_undersample(spark, sizes):
     results = []

@@ -85,8 +85,7 @@ def ngrams(spark, sf_dir):
     "FROM documents) GROUP BY doc_id, term"
 )
 def term_counts(spark, sf_dir):
-    df = inputs.documents(spark, sf_dir).select("doc_id", ft.word_tokens("text").alias("grams"))
-    return ft.term_counts(df, "doc_id")
+    return ft.term_counts(inputs.documents(spark, sf_dir), "doc_id", ngram_range=(1, 1))
 
 
 @query(

@@ -60,15 +60,20 @@ def _explode(df: DataFrame, terms: str, *keep: str) -> DataFrame:
     return exploded.where(F.col("term").isNotNull())
 
 
-def term_counts(df: DataFrame, doc_id: str, grams: str = "grams") -> DataFrame:
-    """(document, term, tf) over every term.
+def term_counts(
+    df: DataFrame, doc_id: str, text: str = "text", ngram_range: tuple[int, int] = NGRAM_RANGE
+) -> DataFrame:
+    """(document, term, tf) over every n-gram of every document.
 
-    Documents are placed by id before their terms are exploded, so counting a document's terms
-    needs no exchange of the much longer list of terms.
+    Texts are placed by id before they are cut into terms, so the exchange carries the texts and
+    not the much longer list of their n-grams.
     """
-    placed = df.select(doc_id, grams).repartition(doc_id)
-    exploded = _explode(placed, grams, doc_id)
-    return exploded.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    placed = df.select(doc_id, text).repartition(doc_id)
+    tokens = placed.select(doc_id, word_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    terms = tokens.select(doc_id, ngrams("tokens", ngram_range).alias("grams"))
+    return _explode(terms, "grams", doc_id).groupBy(doc_id, "term").agg(
+        F.count(F.lit(1)).alias("tf")
+    )
 
 
 def _top(counts: DataFrame, size: int) -> list[Term]:

@@ -22,8 +22,11 @@ from textprep.schema import BINARY_LABELS
 
 SEED = 42
 
-# 16 ** 3 = 4,096 buckets per class: 10 billion rows of a class make 2.4 million rows per task.
+# 16 ** 3 = 4,096 buckets per class: 10 billion rows of a class make 2.4 million rows per bucket.
+# The result does not depend on the number of buckets.
 BUCKET_DIGITS = 3
+MAX_BUCKET_DIGITS = 5
+ROWS_PER_BUCKET = 50_000
 
 DRAWS_PER_KEY = 100_000
 
@@ -38,6 +41,14 @@ def _keyed(df: DataFrame, ids: Sequence[str], seed: int, digits: int) -> DataFra
     return df.withColumn("_bucket", F.substring("_key", 1, digits))
 
 
+def bucket_digits(n_rows: int) -> int:
+    """Prefix length that keeps buckets of ``n_rows`` near ``ROWS_PER_BUCKET``, at most 5."""
+    digits = BUCKET_DIGITS
+    while digits < MAX_BUCKET_DIGITS and n_rows > ROWS_PER_BUCKET * 16**digits:
+        digits += 1
+    return digits
+
+
 def distributed_rank(
     df: DataFrame,
     ids: Sequence[str],
@@ -229,9 +240,11 @@ def oversample(
     result = df.where(F.col(label) == largest).withColumn("draw", F.lit(None).cast("bigint"))
     for value in sorted(c for c in sizes if c != largest):
         salts = max(1, n_max // (sizes[value] * DRAWS_PER_KEY))
-        ranked = distributed_rank(
-            df.where(F.col(label) == value), ids, label, seed, rank="_rank"
-        ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = df.where(F.col(label) == value)
+        digits = bucket_digits(sizes[value])
+        salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        ranked = distributed_rank(rows, ids, None, seed, "_rank", digits)
+        ranked = ranked.withColumn("_salt", salt)
         draws = df.sparkSession.range(n_max).select(
             F.col("id").alias("draw"),
             draw_rank(F.col("id"), F.lit(value), F.lit(sizes[value]), seed).alias("_rank"),
