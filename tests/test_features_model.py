@@ -182,6 +182,11 @@ def test_model_beats_majority_and_survives_saving(spark, training):
     assert sorted(md.predict(loaded, training).collect()) == sorted(scored.collect())
 
 
+def test_no_terms_is_an_error(spark):
+    with pytest.raises(ValueError, match="no terms"):
+        md.fit_features(spark.createDataFrame([("a !",), (None,)], "text string"))
+
+
 def test_weights_skip_other_classes(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,), (2,), (None,)], "label int")
     got = sorted((r.label, round(r.weight, 6)) for r in with_class_weight(df).collect())

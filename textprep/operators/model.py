@@ -44,6 +44,8 @@ def fit_features(
     stages = [token_stage(text)]
     tokens = stages[0].transform(train.select(text))
     vocabulary = fit_vocabulary(tokens, "tokens", max_features, max_n)
+    if not vocabulary:
+        raise ValueError("the training texts hold no terms")
     stages += [gram_stage(max_n), count_vectorizer(vocabulary)]
     counts = PipelineModel(stages).transform(train.select(text))
     stages += idf_stages(fit_idf(counts.select("tf")))
