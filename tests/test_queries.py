@@ -8,6 +8,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import __spark_entry__ as spark_entry
 from check_queries import compare, connect
 
+from textprep.catalog import QUERIES
+
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
 
@@ -17,7 +19,7 @@ def con():
     return connect(str(DATA))
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_oracle(spark, con, name):
     assert compare(spark, con, name, str(DATA)) is None
 
