@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import line_dedup, packing
+from textprep.llm import line_dedup, mixing, packing
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,46 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("""
+WITH sized AS (
+  SELECT doc_id, source, md5('mix|' || doc_id::VARCHAR) AS key,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, s, source_size, 3 * source_size AS cap, [5, 2, 1][(s - 1) % 3 + 1] AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+               row_number() OVER (ORDER BY source NULLS LAST) AS s
+        FROM sized GROUP BY source)),
+shares AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS parts
+  FROM sources
+  WINDOW before AS (ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT rest, parts FROM shares WHERE cap / w >= rest / parts ORDER BY cap / w, s LIMIT 1),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN cap / w < shares.rest / shares.parts THEN cap::DOUBLE
+              ELSE level.rest::DOUBLE * w / level.parts END AS target
+  FROM shares, level),
+words AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM targets),
+placed AS (
+  SELECT doc_id, source, size,
+         sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+                         ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM sized)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (words // source_size)
+            + greatest(0, least(start + size, words % source_size) - start) AS BIGINT) AS taken,
+       CAST(CASE WHEN size = 0 THEN 0
+                 ELSE words // source_size + (start < words % source_size)::INT END AS BIGINT)
+         AS copies
+FROM placed JOIN words ON placed.source IS NOT DISTINCT FROM words.source
+""")
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    mixed = mixing.mix(docs).documents
+    columns = "size", "source_size", "target", "taken", "copies"
+    return mixed.select(F.col("id").alias("doc_id"), *columns)
