@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK = 1024
 SEED = "mix"
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 RUN = 1 << 16  # slots that one row of the schedule's plan stands for
 
 
