@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,18 +67,20 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def packed(df: DataFrame, **columns: Column | str) -> DataFrame:
-    """All columns of ``df`` as the struct ``doc``, beside the named ones: no name can clash."""
-    doc = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("doc")
+def packed(
+    df: DataFrame, only: Sequence[str] | None = None, **columns: Column | str
+) -> DataFrame:
+    """Columns of ``df`` as the struct ``doc``, beside the named ones: no name can clash."""
+    doc = F.struct(*[F.col(quoted(c)) for c in only or df.columns]).alias("doc")
     extra = [(F.col(quoted(c)) if isinstance(c, str) else c).alias(k) for k, c in columns.items()]
     return df.select(doc, *extra)
 
 
-def unpacked(df: DataFrame, source: DataFrame, **columns: Column) -> DataFrame:
-    """The columns of ``source`` from ``doc``; ``columns`` replace those of the same name."""
+def unpacked(df: DataFrame, names: Sequence[str], **columns: Column) -> DataFrame:
+    """The named columns from ``doc``; ``columns`` replace those of the same name."""
     kept = [
         columns.pop(c).alias(c) if c in columns else F.col(f"doc.{quoted(c)}").alias(c)
-        for c in source.columns
+        for c in names
     ]
     return df.select(*kept, *[c.alias(k) for k, c in columns.items()])
 

@@ -85,7 +85,7 @@ def drop_common_lines(
     old = F.coalesce(F.col(f"doc.{quoted(text)}"), F.lit(""))
     return unpacked(
         joined,
-        docs,
+        docs.columns,
         **{text: F.when(F.col("positions").isNull(), old).otherwise(without_lines(old, "positions"))},
         n_lines=(F.length(old) - F.length(F.replace(old, F.lit("\n"))) + 1).cast("long"),
         n_dropped=F.coalesce(F.array_size("positions"), F.lit(0)).cast("long"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import line_dedup, mixing, packing
+from textprep.llm import line_dedup, minhash_dedup, mixing, packing
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs).documents
     columns = "size", "source_size", "target", "taken", "copies"
     return mixed.select(F.col("id").alias("doc_id"), *columns)
+
+
+@query()
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash_dedup.near_duplicates(docs, k=2, columns=["doc_id"])
