@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import line_dedup, minhash_dedup, mixing, packing
+from textprep.llm import fingerprints, line_dedup, minhash_dedup, mixing, packing
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return minhash_dedup.near_duplicates(docs, k=2, columns=["doc_id"])
+
+
+@query()
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return fingerprints.fingerprint_edits(docs).select(
+        F.col("id").alias("doc_id"), "n_chars", sha256("edited").alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
