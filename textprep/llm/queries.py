@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import fingerprints, line_dedup, minhash_dedup, mixing, packing
+from textprep.llm import fingerprints, line_dedup, minhash_dedup, mixing, packing, suffix_dedup
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,14 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", sha256("edited").alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", "near_edited", "near_next",
     )
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, columns=["doc_id"])
+    return found.select(
+        "doc_id", "repeats.n_bytes", "repeats.n_removed",
+        F.size("repeats.starts").cast("long").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
