@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import fingerprints, line_dedup, minhash_dedup, mixing, packing, suffix_dedup
+from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, suffix_dedup
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("repeats.starts").cast("long").alias("n_spans"),
         F.sha2("repeats.kept", 256).alias("kept_sha256"),
     )
+
+
+@query("""
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM pairs)
+WHERE rank <= 20
+""")
+def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.nearest(vectors, F.pmod(F.col("vec_id"), F.lit(20)) == 0)
