@@ -144,22 +144,31 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     size of every intersection.
     """
 
+    def held(shared: np.ndarray, sizes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+        """Which set holds which of the shared shingles, as 0/1."""
+        place = np.searchsorted(shared, shingles)
+        place[place == len(shared)] = 0
+        hit = shared[place] == shingles
+        found = np.zeros((len(sizes), len(shared)), np.float32)
+        found[np.repeat(np.arange(len(sizes)), sizes)[hit], place[hit]] = 1
+        return found
+
     def links(one: list[dict], two: list[dict]) -> list[tuple[int, int]]:
-        sets = [[np.frombuffer(x["shingles"], "<u8") for x in side] for side in (one, two)]
-        shared = np.intersect1d(*[np.unique(np.concatenate(side)) for side in sets])
-        found = np.zeros((len(one), len(two)), np.int64)
-        for start in range(0, len(shared), 4096):
-            part = shared[start : start + 4096]
-            holds = [
-                np.array([np.isin(part, s, assume_unique=True) for s in side], np.float32)
-                for side in sets
-            ]
-            found += (holds[0] @ holds[1].T).astype(np.int64)
-        sizes = [np.array([len(s) for s in side]) for side in sets]
-        union = sizes[0][:, None] + sizes[1][None, :] - found
-        ids = [np.array([x["node"] for x in side]) for side in (one, two)]
         comps = [np.array([x["comp"] for x in side]) for side in (one, two)]
-        linked = (100 * found >= percent * union) & (comps[0][:, None] != comps[1][None, :])
+        differ = comps[0][:, None] != comps[1][None, :]
+        if not differ.any():
+            return []
+        ids = [np.array([x["node"] for x in side]) for side in (one, two)]
+        sizes = [np.array([len(x["shingles"]) // 8 for x in side]) for side in (one, two)]
+        joined = [
+            np.frombuffer(b"".join(x["shingles"] for x in side), "<u8") for side in (one, two)
+        ]
+        shared = np.intersect1d(*joined)
+        if not len(shared):
+            return []
+        common = held(shared, sizes[0], joined[0]) @ held(shared, sizes[1], joined[1]).T
+        union = sizes[0][:, None] + sizes[1][None, :] - common
+        linked = (100 * common >= percent * union) & differ
         return [(int(ids[0][i]), int(ids[1][j])) for i, j in np.argwhere(linked)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +221,7 @@ def near_duplicates(
     needed = firsts.join(buckets.select("node").distinct(), "node").select("node", "k1", "k2")
     needed = scratch.save(needed, "needed")
     k1, k2 = row_key(doc_id, text)
-    texts = docs.select(k1, k2, F.col(quoted(text)).alias("text")).join(needed, ["k1", "k2"])
+    texts = docs.select(k1, k2, F.col(quoted(text)).alias("text")).join(needed.hint("merge"), ["k1", "k2"])
     sets = scratch.save(full_sets(texts.select("node", "text"), k).dropDuplicates(["node"]), "sets")
 
     pairs = buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
