@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, suffix_dedup
+from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,11 @@ WHERE rank <= 20
 def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann.nearest(vectors, F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    scored = toxicity.score_toxicity(docs, labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
