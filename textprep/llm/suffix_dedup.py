@@ -209,7 +209,7 @@ def contexts_of(docs: DataFrame, text: str, wanted: DataFrame, length: int, k1,
             )
 
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "low", "high")).alias("x"))
-    texts = docs.select(k1, k2, F.col(quoted(text)).alias("text")).join(lists, ["k1", "k2"])
+    texts = docs.select(k1, k2, F.col(quoted(text)).alias("text")).join(lists.hint("merge"), ["k1", "k2"])
     found = texts.mapInArrow(rows, "k1 long, k2 long, a int, base int, context binary")
     return found.dropDuplicates(["k1", "k2", "a"])
 
@@ -260,6 +260,6 @@ def remove_repeats(
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(span).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.free_shuffles()
-    joined = packed(docs, columns, k1=k1, k2=k2, text=text).join(spans, ["k1", "k2"], "left")
+    joined = packed(docs, columns, k1=k1, k2=k2, text=text).join(spans.hint("merge"), ["k1", "k2"], "left")
     joined = joined.withColumn("repeats", without_spans("text", "spans"))
     return unpacked(joined, columns or docs.columns, repeats=F.col("repeats"))
