@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, suffix_dedup, toxicity
+from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     scored = toxicity.score_toxicity(docs, labels)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = substring_dedup.remove_passages(docs, columns=["doc_id"])
+    return found.select(
+        "doc_id", "repeats.n_words", "repeats.n_repeated", "repeats.n_removed",
+        F.col("repeats.first").alias("first_in"),
+        F.sha2(F.col("repeats.kept").cast("binary"), 256).alias("kept_sha256"),
+    )
