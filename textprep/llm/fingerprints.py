@@ -49,7 +49,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, w: int = W
 
 def hashes(packed: Column | str) -> Column:
     """The hashes of a packed fingerprint in text order."""
-    return F.transform(packed, lambda x: F.shiftright(x, 32))
+    return F.transform(packed, lambda x: F.shiftright(x, 32).cast("int"))
 
 
 def positions(packed: Column | str) -> Column:
@@ -98,32 +98,31 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """Each document with its fingerprint, that of its edited text, and that of the next document.
 
     The edited text has its last quarter of code points replaced by the first as many of the next
-    document by id. Texts are shuffled once, with their fingerprints; a second exchange takes to
-    each document the start of the next one only.
+    document by id. Texts are shuffled once; a second exchange takes to each document the start and
+    the hashes of the next one only.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     order = scratch.save(next_documents(docs, doc_id, text, scratch), "order")
     k1, k2 = row_key(doc_id, text)
-    texts = docs.select(
-        k1, k2, F.col(quoted(doc_id)).alias("id"),
-        F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"),
-    )
-    texts = with_fingerprint(texts, "text", "packed").repartition("k1", "k2")
-    own = texts.join(order, ["k1", "k2"])
+    # Both joins read the same columns, so Spark shuffles the texts once for the two of them.
+    texts = docs.select(k1, k2, F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    texts = with_fingerprint(texts.repartition("k1", "k2"), "text", "packed")
+    own = texts.join(order.hint("merge"), ["k1", "k2"])
     before = order.select(
         F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.expr("n div 4").alias("need"),
         F.col("n1").alias("k1"), F.col("n2").alias("k2"),
     )
-    following = texts.join(before, ["k1", "k2"]).select(
+    following = texts.join(before.hint("merge"), ["k1", "k2"]).select(
         F.col("p1").alias("k1"), F.col("p2").alias("k2"),
         F.expr("left(text, cast(need AS int))").alias("start"),
-        F.col("packed").alias("next_packed"),
+        F.array_distinct(hashes("packed")).alias("next_set"),
     )
     joined = own.join(following.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
     edited = F.expr("concat(left(text, cast(n - n div 4 AS int)), start)")
-    joined = joined.select("id", "text", "n", "packed", "next_packed", edited.alias("edited"))
+    id_ = F.when(F.col("k1") != F.lit(-(2**63)), F.col("k1")).alias("id")
+    joined = joined.select(id_, "text", "n", "packed", "next_set", edited.alias("edited"))
     joined = with_fingerprint(joined, "edited", "edited_packed")
-    for name in ("packed", "edited_packed", "next_packed"):
+    for name in ("packed", "edited_packed"):
         joined = joined.withColumn(f"{name}_set", F.array_distinct(hashes(name)))
     return joined.select(
         "id", "text", F.col("n").alias("n_chars"), "edited",
@@ -131,5 +130,5 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         as_text("edited_packed").alias("edited_fingerprint"),
         positions("packed").alias("positions"),
         likeness("packed_set", "edited_packed_set").alias("near_edited"),
-        likeness("packed_set", "next_packed_set").alias("near_next"),
+        likeness("packed_set", "next_set").alias("near_next"),
     )
