@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, substring_dedup, suffix_dedup, toxicity
+from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("repeats.first").alias("first_in"),
         F.sha2(F.col("repeats.kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after two edits of each document, one inside and one at its end."""
+    docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = token_counts.count_tokens(docs).withColumnRenamed("n_tokens", "n_before")
+    inside = "1L AS seq, n div 3 AS start, n div 20 AS removed, left(text, cast(n div 10 AS int))"
+    at_end = "2L AS seq, n * 2 AS start, 0L AS removed, concat(' ', right(text, cast(n div 10 AS int)))"
+    edits = F.expr(f"array(struct({inside} AS inserted), struct({at_end} AS inserted))")
+    counted = counted.withColumn("n", F.length("text").cast("long"))
+    edited = token_counts.apply_edits(counted, edits)
+    return edited.select(
+        "doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
+        F.col("n").alias("n_chars"), "n_encoded", sha256("text").alias("edited_sha256"),
+    )
