@@ -1,15 +1,66 @@
-"""The corpus pipeline: five stages from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage works on what the one before kept, which is written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from textprep.llm.common import Scratch
+from textprep.llm.line_dedup import drop_common_lines
+from textprep.llm.minhash_dedup import near_duplicates
+from textprep.llm.mixing import mixed_documents
+from textprep.llm.packing import pack_documents
+from textprep.llm.toxicity import score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely toxic than not go."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "toxic")
+    scored = score_toxicity(docs, labels)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go; documents stay, with their new lengths."""
+    kept = drop_common_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out as their sources' targets ask."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in which sequence."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: SQL cannot express nearest examples, token ids and packing; tests hold the stages against
+#: brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
     return docs

@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textprep.llm.common import WORD, Scratch, quoted
+from textprep.llm.common import WORD, Scratch, packed, quoted, row_key, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -135,10 +135,10 @@ def streams(sized: DataFrame, scratch: Scratch) -> DataFrame:
         sums.select("s", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n")),
         "bucket_sums",
     )
-    inside = Window.partitionBy("s", "bucket").orderBy("key", "id", "size")
+    inside = Window.partitionBy("s", "bucket").orderBy("key", "id", "size", "k2")
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     ended = sized.withColumn("end", F.sum("size").over(inside)).join(sums, ["s", "bucket"])
-    return ended.select("id", "s", "size", F.expr("n + end - size").alias("start"))
+    return ended.select("id", "k1", "k2", "s", "size", F.expr("n + end - size").alias("start"))
 
 
 def mix(
@@ -152,8 +152,8 @@ def mix(
 ) -> Mix:
     """Mix the sources so that each comes within rounding of its target.
 
-    ``documents``: ``id, source, size, source_size, target, taken, copies``; ``taken`` counts words
-    with repeats, ``copies`` the times a document is begun, for mixes of whole documents.
+    ``documents``: ``id, k1, k2`` (the row's key), ``source, size, source_size, target, taken,
+    copies``; ``taken`` counts words with repeats, ``copies`` the times a document is begun, for mixes of whole documents.
     ``segments``: ``slot, epoch, source, id, begin, words``, the words of a document that a slot
     takes; rerun or moved to another cluster, it is the same.
     """
@@ -161,6 +161,7 @@ def mix(
     id_ = F.col(quoted(doc_id))
     sized = docs.select(
         id_.alias("id"),
+        *row_key(doc_id, text),
         F.col(quoted(source)).alias("source"),
         F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(SEED), id_.cast("string"))).alias("key"),
@@ -196,8 +197,23 @@ def mix(
     documents = placed.withColumn("some", F.col("size") > 0)
     documents = documents.join(sums, ["s", "start", "some"], "left").join(sources, "s")
     documents = documents.select(
-        "id", "source", "size", "source_size", "target",
+        "id", "k1", "k2", "source", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).alias("taken"),
         F.coalesce("copies", F.lit(0)).alias("copies"),
     )
     return Mix(documents, segments.join(sources.select("s", "source"), "s").drop("s", "start"))
+
+
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
+    """The mix as whole documents: each row as often as the mix begins it, with its columns.
+
+    Copies of one row share what is taken of them.
+    """
+    taken = mix(docs, doc_id, text, source).documents.groupBy("k1", "k2")
+    taken = taken.agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    k1, k2 = row_key(doc_id, text)
+    rows = packed(docs, k1=k1, k2=k2).dropDuplicates(["k1", "k2"])
+    rows = rows.join(taken.hint("merge"), ["k1", "k2"])
+    return unpacked(rows.select("doc", F.explode(F.expr("array_repeat(0, copies)"))), docs.columns)
