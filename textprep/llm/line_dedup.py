@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprep.llm.common import Scratch, packed, quoted, row_key, sliced, texts_of, unpacked
 
@@ -51,7 +51,7 @@ def explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_lines(texts: pd.Series, positions: pd.Series) -> pd.Series:
     def kept(text, drop):
         gone = set(drop)

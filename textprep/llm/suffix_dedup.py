@@ -27,7 +27,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprep.llm.common import Scratch, mixed64, packed, quoted, row_key, sliced, texts_of, unpacked
 
@@ -214,7 +214,17 @@ def contexts_of(docs: DataFrame, text: str, wanted: DataFrame, length: int, k1,
     return found.dropDuplicates(["k1", "k2", "a"])
 
 
-@F.pandas_udf("n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary")
+CUT = (
+    T.StructType()
+    .add("n_bytes", T.LongType())
+    .add("n_removed", T.LongType())
+    .add("starts", T.ArrayType(T.IntegerType()))
+    .add("ends", T.ArrayType(T.IntegerType()))
+    .add("kept", T.BinaryType())
+)
+
+
+@F.pandas_udf(CUT)
 def without_spans(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     def cut(text, found):
         data = (text or "").encode()
