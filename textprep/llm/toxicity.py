@@ -6,7 +6,7 @@ toxic examples hold more often than others (``LEAST_Z`` standard errors, at most
 the space; their document frequencies are counted over the whole table.
 
 The examples are a bounded sample: of the labelled rows with ``crc32(id) % 5 <> 0`` about
-``EXAMPLES`` by hash, or all if there are fewer. Their postings are cut into blocks of ``BLOCK``
+``EXAMPLES`` by hash, or all if there are fewer; copies of a text are one example. Their postings are cut into blocks of ``BLOCK``
 examples with the largest weight of each term, so blocks that cannot hold one of the ``NEIGHBOURS``
 nearest are never scored. Neighbours vote with the square of their similarity; votes are turned into
 probabilities by the share of toxic examples among votes of that height, each example voting without
@@ -34,6 +34,7 @@ GRAM, BITS = 6, 20
 EXAMPLES = 40_000
 MAX_TERMS, LEAST_Z, LEAST_DOCS = 4096, 4.0, 3
 NEIGHBOURS, BLOCK = 15, 128
+FIRST = 4  # blocks scored before any is left out
 PRIOR_WEIGHT = 0.5
 BINS = 40
 FOLDS = 5
@@ -98,26 +99,40 @@ class Index:
         np.maximum.at(largest, cell, self.weight.astype(np.float32) * np.float32(1.000001))
         self.largest = largest.reshape(len(terms.idf), self.blocks)
 
+    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Similarities of all examples of the given blocks, block by block."""
+        cell = terms[:, None] * self.blocks + blocks[None, :]
+        start = self.start[cell].ravel()
+        size = self.start[cell + 1].ravel() - start
+        posting = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        origin = np.tile((np.arange(len(blocks)) - blocks) * BLOCK, len(terms))
+        place = self.example[posting] + np.repeat(origin, size)
+        value = self.weight[posting] * np.repeat(np.repeat(weights, len(blocks)), size)
+        return np.bincount(place, value, len(blocks) * BLOCK)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None):
-        """Examples and similarities, nearest first; blocks come in the order of their bounds."""
+        """Examples and similarities, nearest first.
+
+        The blocks of the highest bounds give a least similarity; of the others only those whose
+        bounds exceed it are scored.
+        """
         bound = weights @ self.largest[terms]
-        best, scores = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            least = scores[NEIGHBOURS - 1] if len(scores) >= NEIGHBOURS else 0.0
-            if bound[block] <= least:
+        order = np.argsort(-bound, kind="stable")
+        best, found, least = np.empty(0, np.int64), np.empty(0), 0.0
+        for some in (order[:FIRST], order[FIRST:]):
+            some = some[bound[some] > least]
+            if not len(some):
                 break
-            near = np.zeros(BLOCK)
-            for term, weight in zip(terms, weights):
-                a, b = self.start[term * self.blocks + block : term * self.blocks + block + 2]
-                near[self.example[a:b] - block * BLOCK] += weight * self.weight[a:b]
+            near = self.scores(terms, weights, some)
             here = np.flatnonzero(near > least)
+            example = some[here // BLOCK] * BLOCK + here % BLOCK
             if without is not None:
-                here = here[self.ids[here + block * BLOCK] != without]
-            best = np.append(best, here + block * BLOCK)
-            scores = np.append(scores, near[here])
-            keep = np.argsort(-scores, kind="stable")[:NEIGHBOURS]
-            best, scores = best[keep], scores[keep]
-        return best, scores
+                here, example = (x[self.ids[example] != without] for x in (here, example))
+            best, found = np.append(best, example), np.append(found, near[here])
+            keep = np.lexsort([best, -found])[:NEIGHBOURS]
+            best, found = best[keep], found[keep]
+            least = found[-1] if len(found) == NEIGHBOURS else 0.0
+        return best, found
 
 
 @dataclass
@@ -235,7 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str)
     bound = int(parts * min(1.0, EXAMPLES / max(known.count(), 1)))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < bound)
     texts = docs.select(id_.cast("long").alias("id"), F.col(quoted(text)).alias("text"))
-    examples = scratch.save(texts.join(F.broadcast(known), "id"), "examples")
+    texts_of_known = texts.join(F.broadcast(known), "id").groupBy(F.xxhash64("text"))
+    examples = texts_of_known.agg(
+        F.min("id").alias("id"), F.max("label").alias("label"), F.any_value("text").alias("text")
+    )
+    examples = scratch.save(examples.select("id", "label", "text"), "examples")
     total, toxic = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < total:
         return None
