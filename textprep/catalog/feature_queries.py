@@ -81,11 +81,11 @@ def ngrams(spark, sf_dir):
 
 
 @query(
-    f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term "
-    "FROM documents) GROUP BY doc_id, term"
+    "WITH " + sql_grams("documents", "doc_id")
+    + " SELECT doc_id, term, count(*) AS tf FROM documents_grams GROUP BY doc_id, term"
 )
 def term_counts(spark, sf_dir):
-    return ft.term_counts(inputs.documents(spark, sf_dir), "doc_id", ngram_range=(1, 1))
+    return ft.term_counts(inputs.documents(spark, sf_dir), "doc_id")
 
 
 @query(
@@ -94,6 +94,7 @@ def term_counts(spark, sf_dir):
 )
 def vocabulary(spark, sf_dir):
     df = inputs.documents(spark, sf_dir).select(ft.word_tokens("text").alias("tokens"))
+    df = files.materialize(df, "tokens")
     return ft.vocabulary_table(spark, ft.fit_vocabulary(df)).drop("idx")
 
 
@@ -119,11 +120,11 @@ def idf(spark, sf_dir):
     return df.select("term", "df", F.round(value, 9).alias("idf"))
 
 
-def _tfidf(fit_on, apply_to, *keys):
-    counts, index = _count_model(fit_on)
-    weights = ft.fit_idf(counts.transform(fit_on).select("tf"))
-    model = PipelineModel(counts.stages + ft.idf_stages(weights))
-    entries = ft.vector_entries(model.transform(apply_to), "features", *keys)
+def _tfidf(fit_on, apply_to, *keys, through=lambda model: model):
+    model = md.fit_features(fit_on.select("text"))
+    terms = [ft.Term(t, 0, 0) for t in model.stages[2].vocabulary]
+    index = F.broadcast(ft.vocabulary_table(fit_on.sparkSession, terms).select("idx", "term"))
+    entries = ft.vector_entries(through(model).transform(apply_to), "features", *keys)
     return entries.join(index, "idx").select(*keys, "term", F.round("value", 6).alias("tfidf"))
 
 
@@ -136,6 +137,22 @@ def tfidf(spark, sf_dir):
     return _tfidf(docs, docs, "doc_id")
 
 
+@query(
+    "WITH " + sql_grams("documents", "doc_id") + ", " + sql_vocabulary("documents") + ", "
+    + sql_idf("documents", "doc_id") + ", " + sql_tfidf("documents", "doc_id")
+)
+def tfidf_reloaded(spark, sf_dir):
+    """The same by a feature pipeline that was saved and loaded again."""
+
+    def through(model):
+        path = files.scratch_path(spark, "features")
+        md.save_model(model, path)
+        return md.load_model(path)
+
+    docs = inputs.documents(spark, sf_dir).select("doc_id", "text")
+    return _tfidf(docs, docs, "doc_id", through=through)
+
+
 @query(
     "WITH " + sql_grams("documents", "doc_id") + ", " + sql_grams("conversations", "conv_id, turn")
     + ", " + sql_vocabulary("documents") + ", " + sql_idf("documents", "doc_id") + ", "
@@ -241,8 +258,7 @@ _STRIPPED = ", stripped AS (SELECT * REPLACE (" + sql_strip("text") + " AS text)
 def encode_splits(spark, sf_dir):
     """Written as one dataset per split and read back."""
     path = files.scratch_path(spark, "encoded")
-    df = inputs.corpus(spark, sf_dir).select("doc_id", "text", "label", "toxic_positivity")
-    files.write_splits(jobs.encode_splits(df, "doc_id"), path)
+    files.write_splits(jobs.encode_splits(inputs.classed(spark, sf_dir), "doc_id"), path)
     return files.read_split(spark, path).select(
         "doc_id",
         "labels",

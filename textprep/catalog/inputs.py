@@ -59,6 +59,12 @@ def labelled(spark, sf_dir) -> DataFrame:
     return corpus(spark, sf_dir).where(F.col("label").isin(0, 1))
 
 
+def classed(spark, sf_dir) -> DataFrame:
+    """All documents; those without a label are the third class."""
+    label = F.coalesce("label", F.lit(2)).alias("label")
+    return corpus(spark, sf_dir).select("doc_id", "text", label, "toxic_positivity")
+
+
 # --- "text;label;" lines; commas become ";;" so that texts hold separators and empty chunks ----
 
 
@@ -118,7 +124,7 @@ def _pick_sql(phrases) -> str:
     return f"list_extract([{quoted}], CAST(doc_id % {len(phrases)} AS INTEGER) + 1)"
 
 
-TAMIL_PHRASES = ["நம்பிக்கை இல்லை", "நம்பிக்கை", "இல்லை", "நம்பிக்கை மாட்டேன்", "நல்ல நாள்"]
+TAMIL_PHRASES = ["நம்பிக்கை இல்லை", "நம்பிக்கை", "இல்லை", "நம்பிக்கை மாட்டேன்", "இன்று மழை"]
 
 VIEWS["tamil_corpus"] = f"""
     SELECT doc_id, {_pick_sql(TAMIL_PHRASES)} || ' ' || text AS text, label FROM corpus"""

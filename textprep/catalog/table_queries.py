@@ -63,13 +63,17 @@ def read_model_columns(spark, sf_dir):
     return files.read_split(spark, path, "train", ["doc_id", "label"])
 
 
-@query(with_views("corpus") + "SELECT doc_id, text, label FROM corpus WHERE label IS NOT NULL")
+@query(with_views("corpus") + "SELECT doc_id, text, label FROM corpus UNION ALL SELECT doc_id, text, label FROM corpus")
 def optional_source(spark, sf_dir):
-    """An absent table falls back to the corpus."""
-    absent = files.load_optional(spark, files.scratch_path(spark, "absent"))
-    table = inputs.corpus(spark, sf_dir) if absent is None else absent
-    df = require_columns(table, ["text", "label"])
-    return df.where(F.col("label").isNotNull()).select("doc_id", "text", "label")
+    """A table that is there is read; an absent one falls back to the corpus."""
+    columns = ["doc_id", "text", "label"]
+    corpus, path = inputs.corpus(spark, sf_dir).select(*columns), files.scratch_path(spark, "present")
+    files.write_csv(corpus, path)
+    schema = "doc_id long, text string, label int"
+    present = files.load_optional(spark, path, schema)
+    absent = files.load_optional(spark, files.scratch_path(spark, "absent"), schema)
+    tables = [corpus if t is None else t for t in (present, absent)]
+    return tables[0].union(require_columns(tables[1], ["text", "label"]))
 
 
 # --- parsing and labels ------------------------------------------------------------------------
@@ -158,12 +162,11 @@ def fill_null_text(spark, sf_dir):
 
 
 @query(
-    with_views("corpus", "labelled")
-    + "SELECT doc_id, label AS labels, 'en' AS lang, text FROM labelled"
+    with_views("corpus") + "SELECT doc_id, label AS labels, 'en' AS lang, text FROM corpus"
 )
 def project_columns(spark, sf_dir):
     """Constant column, dropped and renamed columns, fixed order."""
-    df = inputs.labelled(spark, sf_dir).withColumn("lang", F.lit("en"))
+    df = inputs.corpus(spark, sf_dir).withColumn("lang", F.lit("en"))
     df = df.drop("source", "__index_level_0__").withColumnRenamed("label", "labels")
     return df.select("doc_id", "labels", "lang", "text")
 
@@ -329,8 +332,9 @@ def class_weights(spark, sf_dir):
 
 @query(
     with_views("corpus", "labelled")
-    + """SELECT doc_id, label, round(CAST(count(*) OVER () AS DOUBLE)
-         / (2 * count(*) OVER (PARTITION BY label)), 9) AS weight FROM labelled"""
+    + """SELECT doc_id, label, CASE WHEN label IS NOT NULL THEN round(
+         CAST(count(label) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY label)), 9) END
+         AS weight FROM corpus"""
 )
 def weighted_rows(spark, sf_dir):
     df = metrics.with_class_weight(inputs.corpus(spark, sf_dir))
@@ -347,6 +351,9 @@ _RANKED = (
 )
 _SAMPLING = with_views("corpus", "labelled") + ", " + _RANKED + ", "
 _SIZES = "sizes AS (SELECT label, count(*) AS n FROM labelled GROUP BY label)"
+# The same over all documents, those without a label as the third class.
+_ALL = "labelled AS (SELECT * REPLACE (coalesce(label, 2) AS label) FROM corpus)"
+_SAMPLING_ALL = with_views("corpus") + ", " + _ALL + ", " + _RANKED + ", "
 
 
 @query(
@@ -420,9 +427,9 @@ def sql_quota(fraction: float) -> str:
     )
 
 
-def sql_split(fraction: float) -> str:
+def sql_split(fraction: float, sampling_sql: str = _SAMPLING_ALL) -> str:
     return (
-        _SAMPLING
+        sampling_sql
         + _SIZES
         + ", "
         + sql_quota(fraction)
@@ -433,18 +440,18 @@ def sql_split(fraction: float) -> str:
 
 @query(sql_split(0.1) + "SELECT doc_id, text, label, split FROM split_rows")
 def stratified_split(spark, sf_dir):
-    df = inputs.corpus(spark, sf_dir).select("doc_id", "text", "label")
+    df = inputs.classed(spark, sf_dir).drop("toxic_positivity")
     return sampling.stratified_split(df, ["doc_id"], 0.1)
 
 
 @query(
-    sql_split(0.2)
+    sql_split(0.2, _SAMPLING)
     + "SELECT split, label, count(*) AS n_rows FROM split_rows GROUP BY split, label"
 )
 def fallback_split(spark, sf_dir):
     """The 20 % hold-out used when there is no dev table."""
     df = inputs.corpus(spark, sf_dir).select("doc_id", "label")
-    split = sampling.stratified_split(df, ["doc_id"], 0.2)
+    split = sampling.stratified_split(combine.keep_labels(df), ["doc_id"], 0.2)
     return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

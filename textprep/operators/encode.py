@@ -52,18 +52,24 @@ def encode_ids(
 
     Texts longer than ``max_length`` minus two special tokens are truncated, as the model needs.
     ``ids`` is a vocabulary of fixed size, so it is broadcast. Rows are placed by ``doc_id`` after
-    truncation; collecting the ids of a row (at most ``max_length``) then needs no exchange.
+    truncation and numbered there, so rows that share an id stay apart; collecting the ids of a row
+    (at most ``max_length``) then needs no exchange.
     """
     keep = [c for c in df.columns if c not in (doc_id, text)]
     words = F.slice(piece_tokens(F.coalesce(text, F.lit(""))), 1, max_length - 2)
-    placed = df.select(doc_id, *keep, words.alias("_words")).repartition(doc_id)
-    numbered = placed.select(doc_id, *keep, F.posexplode_outer("_words").alias("_pos", "term"))
+    kept = F.struct(F.lit(0).alias("_none"), *keep).alias("_kept")
+    placed = df.select(doc_id, kept, words.alias("_words")).repartition(doc_id)
+    placed = placed.withColumn("_row", F.monotonically_increasing_id())
+    numbered = placed.select(
+        doc_id, "_row", "_kept", F.posexplode_outer("_words").alias("_pos", "term")
+    )
     looked_up = numbered.join(F.broadcast(ids), "term", "left")
     word_id = F.when(F.col("_pos").isNotNull(), F.coalesce("id", F.lit(UNKNOWN_ID)))
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", word_id.alias("id")))
-    grouped = looked_up.groupBy(doc_id).agg(
-        *[F.first(c).alias(c) for c in keep], F.collect_list(entry).alias("_entries")
+    grouped = looked_up.groupBy(doc_id, "_row").agg(
+        F.first("_kept").alias("_kept"), F.collect_list(entry).alias("_entries")
     )
+    grouped = grouped.select(doc_id, "_kept.*", "_entries").drop("_none")
     sequence = F.concat(
         F.array(F.lit(START_ID)), F.array_sort("_entries")["id"], F.array(F.lit(END_ID))
     )

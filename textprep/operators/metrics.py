@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textprep.schema import BINARY_LABELS
-
 
 def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
     """Rows per value, most frequent first, ties by value."""
@@ -21,10 +19,14 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def class_weights(
-    df: DataFrame, label: str = "label", classes: Sequence[int] = BINARY_LABELS
+    df: DataFrame, label: str = "label", classes: Sequence[int] | None = None
 ) -> DataFrame:
-    """One row per class: ``n_rows`` and the balanced weight ``n / (k * n_class)``."""
-    counts = class_counts(df.where(F.col(label).isin(*classes)), label)
+    """One row per class: ``n_rows`` and the balanced weight ``n / (k * n_class)``.
+
+    Classes are all labels but null, or those given.
+    """
+    wanted = F.col(label).isNotNull() if classes is None else F.col(label).isin(*classes)
+    counts = class_counts(df.where(wanted), label)
     every = Window.partitionBy()
     n = F.sum("n_rows").over(every)
     k = F.count(F.lit(1)).over(every)
@@ -32,11 +34,14 @@ def class_weights(
 
 
 def with_class_weight(
-    df: DataFrame, label: str = "label", classes: Sequence[int] = BINARY_LABELS
+    df: DataFrame, label: str = "label", classes: Sequence[int] | None = None
 ) -> DataFrame:
-    """Attach ``weight`` to each row of ``classes``; the broadcast has one row per class."""
+    """Attach ``weight``; rows whose label is no class are kept with a null weight.
+
+    The joined table has one row per class, and is broadcast if ``classes`` says how many.
+    """
     weights = class_weights(df, label, classes).select(label, "weight")
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights if classes is None else F.broadcast(weights), label, "left")
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

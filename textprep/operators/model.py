@@ -17,15 +17,25 @@ from textprep.operators.features import (
     ngrams_sql,
     token_pattern,
 )
+from textprep.operators.combine import keep_labels
 from textprep.operators.metrics import with_class_weight
 from textprep.schema import BINARY_LABELS
+from textprep.sources.files import materialize
 
-ROWS_PER_TASK = 10_000
+
+#: Columns the model adds on its way; a table that has them is scored without them.
+WORKING_COLUMNS = (
+    "tokens", "grams", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction"
+)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def token_stage(text: str) -> SQLTransformer:
     pattern = token_pattern().replace("\\", "\\\\")
-    tokens = f"regexp_extract_all(lower(coalesce({text}, '')), '{pattern}', 0)"
+    tokens = f"regexp_extract_all(lower(coalesce({quoted(text)}, '')), '{pattern}', 0)"
     return SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__")
 
 
@@ -41,15 +51,14 @@ def fit_features(
     max_n: int = NGRAM_RANGE[1],
 ) -> PipelineModel:
     """Fit vocabulary and idf; the model turns ``text`` into the ``features`` vector."""
-    stages = [token_stage(text)]
-    tokens = stages[0].transform(train.select(text))
+    tokenizer = token_stage(text)
+    tokens = materialize(tokenizer.transform(train.select(quoted(text))).select("tokens"), "tokens")
     vocabulary = fit_vocabulary(tokens, "tokens", max_features, max_n)
     if not vocabulary:
         raise ValueError("the training texts hold no terms")
-    stages += [gram_stage(max_n), count_vectorizer(vocabulary)]
-    counts = PipelineModel(stages).transform(train.select(text))
-    stages += idf_stages(fit_idf(counts.select("tf")))
-    return PipelineModel(stages)
+    counting = [gram_stage(max_n), count_vectorizer(vocabulary)]
+    weights = fit_idf(PipelineModel(counting).transform(tokens).select("tf"))
+    return PipelineModel([tokenizer, *counting, *idf_stages(weights)])
 
 
 def fit_classifier(
@@ -62,16 +71,14 @@ def fit_classifier(
     """Balanced, L2-penalized logistic regression on fitted features; one model for both.
 
     Spark minimizes the weighted mean loss plus ``regParam / 2 * |b|^2``. Balanced weights sum to
-    n, so the penalty of strength ``c`` on the loss sum is ``regParam = 1 / (c * n)``.
+    n, so the penalty of strength ``c`` on the loss sum is ``regParam = 1 / (c * n)``. The solver
+    reads stored vectors: texts are turned into features once.
     """
-    weighted = with_class_weight(features.transform(train), label).select(
-        F.col(label).cast("double").alias(label), "features", "weight"
-    )
-    n = train.where(F.col(label).isin(*BINARY_LABELS)).count()
-    # Each iteration runs one task per partition; small training sets get by with fewer of them.
-    partitions = max(1, n // ROWS_PER_TASK)
-    if partitions < weighted.sparkSession.sparkContext.defaultParallelism:
-        weighted = weighted.repartition(partitions)
+    vectors = features.transform(keep_labels(train, BINARY_LABELS, label))
+    vectors = vectors.select(F.col(label).cast("double").alias(label), "features")
+    vectors = materialize(vectors, "vectors")
+    weighted = with_class_weight(vectors, label, BINARY_LABELS)
+    n = vectors.count()
     lr = LogisticRegression(
         featuresCol="features",
         labelCol=label,
@@ -97,9 +104,14 @@ def fit_baseline(
 
 
 def predict(model: PipelineModel, df: DataFrame, prediction: str = "base_pred") -> DataFrame:
-    """Add the integer prediction; the columns the model works with are dropped again."""
-    scored = model.transform(df)
-    return scored.select(*df.columns, F.col("prediction").cast("int").alias(prediction))
+    """Add the integer prediction; the columns the model works with are dropped again.
+
+    Columns of ``df`` that bear their names are set aside meanwhile.
+    """
+    aside = {c: f"_own_{c}" for c in df.columns if c in WORKING_COLUMNS}
+    scored = model.transform(df.withColumnsRenamed(aside))
+    kept = [F.col(quoted(aside.get(c, c))).alias(c) for c in df.columns if c != prediction]
+    return scored.select(*kept, F.col("prediction").cast("int").alias(prediction))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -49,18 +49,28 @@ def bucket_digits(n_rows: int) -> int:
     return digits
 
 
+def largest_class(df: DataFrame, class_col: str | None) -> int:
+    """Rows of the most frequent value, or all rows; only that column is read."""
+    if class_col is None:
+        return df.count()
+    sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def distributed_rank(
     df: DataFrame,
     ids: Sequence[str],
     class_col: str | None = None,
     seed: int = SEED,
     rank: str = "rank",
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its class (or overall without ``class_col``).
 
     One exchange of the rows, by (class, bucket); the bucket sizes are joined on the same key.
+    Without ``digits`` the largest class is counted first, and buckets are sized by it.
     """
+    digits = digits or bucket_digits(largest_class(df, class_col))
     cls = F.col(class_col).cast("string") if class_col else F.lit("")
     # A null class is a class of its own.
     tag = F.when(cls.isNull(), "null").otherwise(F.concat(F.lit("="), cls))
@@ -88,7 +98,7 @@ def distributed_rank(
 
 def _bucket_sizes(keyed: DataFrame, class_col: str) -> DataFrame:
     """(class, bucket) sizes with the class total; at most ``classes * 16**digits`` rows."""
-    sizes = keyed.groupBy(class_col, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = keyed.groupBy("_class", class_col, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     total = F.sum("_size").over(Window.partitionBy(class_col))
     return sizes.withColumn("_total", total)
 
@@ -133,20 +143,26 @@ def first_per_class(
     ids: Sequence[str],
     class_col: str,
     quota,
-    classes: Sequence[int] = BINARY_LABELS,
+    classes: Sequence[int] | None = BINARY_LABELS,
     seed: int = SEED,
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
     mark: str = "_chosen",
 ) -> DataFrame:
-    """Mark exactly the first ``quota`` rows of each class; other classes are dropped.
+    """Mark exactly the first ``quota`` rows of each class.
 
-    ``quota`` maps the bucket sizes to the same table with a ``_quota`` column. Only ids and class
-    are read to find the last chosen key of each class; both broadcast tables hold at most one row
-    per entry of ``classes``.
+    Rows of other ``classes`` are dropped; with ``None`` every label counts, null as a class of its
+    own. ``quota`` maps the bucket sizes to the same table with a ``_quota`` column. Only ids and
+    class are read to find the last chosen key of each class. The tables joined to the rows hold
+    one row per class, and are broadcast if ``classes`` says how many those are.
     """
-    df = df.where(F.col(class_col).isin(*classes))
-    keyed = _keyed(df, ids, seed, digits)
-    narrow = keyed.select(class_col, "_bucket", "_key", *ids)
+    if classes is not None:
+        df = df.where(F.col(class_col).isin(*classes))
+    small = F.broadcast if classes is not None else lambda table: table
+    digits = digits or bucket_digits(largest_class(df, class_col))
+    value = F.col(class_col).cast("string")
+    tag = F.when(value.isNull(), "null").otherwise(F.concat(F.lit("="), value))
+    keyed = _keyed(df, ids, seed, digits).withColumn("_class", tag)
+    narrow = keyed.select("_class", class_col, "_bucket", "_key", *ids)
 
     running = Window.partitionBy(class_col).orderBy("_bucket")
     last_bucket = (
@@ -154,20 +170,20 @@ def first_per_class(
         .withColumn("_upto", F.sum("_size").over(running))
         .withColumn("_need", F.col("_quota") - (F.col("_upto") - F.col("_size")))
         .where((F.col("_need") > 0) & (F.col("_quota") <= F.col("_upto")))
-        .select(class_col, "_bucket", "_need")
+        .select("_class", "_bucket", "_need")
     )
-    place = F.row_number().over(Window.partitionBy(class_col).orderBy("_key", *ids))
+    place = F.row_number().over(Window.partitionBy("_class").orderBy("_key", *ids))
     last_row = (
-        narrow.join(F.broadcast(last_bucket), [class_col, "_bucket"])
+        narrow.join(small(last_bucket), ["_class", "_bucket"])
         .withColumn("_place", place)
         .where(F.col("_place") == F.col("_need"))
-        .select(class_col, F.struct("_key", *ids).alias("_last"))
+        .select("_class", F.struct("_key", *ids).alias("_last"))
     )
     chosen = F.coalesce(F.struct("_key", *ids) <= F.col("_last"), F.lit(False))
     return (
-        keyed.join(F.broadcast(last_row), class_col, "left")
+        keyed.join(small(last_row), "_class", "left")
         .withColumn(mark, chosen)
-        .drop("_key", "_bucket", "_last")
+        .drop("_key", "_bucket", "_class", "_last")
     )
 
 
@@ -188,11 +204,14 @@ def stratified_split(
     ids: Sequence[str],
     fraction: float,
     label: str = "label",
-    classes: Sequence[int] = BINARY_LABELS,
+    classes: Sequence[int] | None = None,
     seed: int = SEED,
     names: tuple[str, str] = ("train", "validation"),
 ) -> DataFrame:
-    """Add ``split``: exactly ``ceil(fraction * n)`` validation rows in class proportion."""
+    """Add ``split``: exactly ``ceil(fraction * n)`` validation rows in class proportion.
+
+    All rows are kept, each label being a class, null too; ``classes`` restricts the table first.
+    """
 
     def quota(sizes, class_col):
         return _stratified_quota(sizes, class_col, fraction)

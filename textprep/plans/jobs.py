@@ -136,10 +136,12 @@ def encode_splits(
 ) -> DataFrame:
     """Strip, drop empty texts, split, encode and rename; write with ``write_splits``.
 
-    The vocabulary is fitted on the training split.
+    Every label is a class of the split, and all rows are kept. The stripped rows are stored, so
+    the passes of the split read ids and labels only; the vocabulary is fitted on the training rows.
     """
-    df = df.withColumn("text", strip(F.coalesce("text", F.lit("")))).where(F.length("text") > 0)
-    split = materialize(stratified_split(df, [doc_id], fraction, seed=seed), "split")
+    df = materialize(df.withColumn("text", strip(F.coalesce("text", F.lit("")))), "stripped")
+    df = df.where(F.length("text") > 0)
+    split = stratified_split(df, [doc_id], fraction, seed=seed)
     ids = fit_ids(split.where(F.col("split") == "train"), size=vocabulary_size)
     encoded = encode_ids(split, ids, doc_id, max_length=max_length)
     return encoded.withColumnRenamed("label", "labels")
@@ -193,16 +195,19 @@ def train_baseline(
 def train_marked_baseline(
     train: DataFrame,
     ids: Sequence[str],
-    dev: DataFrame,
+    dev: DataFrame | None = None,
     test: DataFrame | None = None,
     strategy: str = "under",
     seed: int = SEED,
     max_features: int = 5000,
 ) -> Baseline:
-    """Derive the labels from markers, balance the training rows and train."""
+    """Derive the labels from markers, balance the training rows and train.
+
+    Without a dev table a fifth of the balanced rows is held out, as for other tables.
+    """
     train = materialize(derive_and_filter(train), "derived")
     balanced = balance(train, ids, strategy, seed=seed)
-    dev = derive_and_filter(dev)
+    dev = None if dev is None else derive_and_filter(dev)
     test = None if test is None else derive_and_filter(test)
     return train_baseline(balanced, ids, dev, test, seed=seed, max_features=max_features)
 

@@ -1,26 +1,37 @@
 """The jobs of :mod:`textprep.plans.jobs` from files to files.
 
-Rows of CSV files have no id, so a ``row_id`` in file order is added when they are read. It stays
-internal, except that the row sampling is a function of it: cut the files differently and other,
-equally valid, rows are drawn. Tables with an id of their own should use the jobs directly.
+Rows of CSV files have no id, so they get their place: file, start of the split within it, and a
+``row_id`` that rises inside a split. The place decides which of equal rows comes first; it stays
+internal, except that the row sampling is a function of ``row_id``: cut the files differently and
+other, equally valid, rows are drawn. Tables with an id of their own should use the jobs directly.
+
+``multi_line`` is passed to the readers: turn it off for files without quoted line breaks, which
+several tasks can then read. What a run stores on its way is deleted when it ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.functions.labels import relabel, relabel_mask
-from textprep.functions.lexicons import TAMIL_HOPE_WORD, TAMIL_NEGATIONS
+from textprep.functions.lexicons import (
+    ENGLISH_NEGATIVE,
+    ENGLISH_POSITIVE,
+    TAMIL_HOPE_WORD,
+    TAMIL_NEGATIONS,
+)
 from textprep.operators.combine import keep_labels
-from textprep.operators.model import save_model
+from textprep.operators.model import load_model, save_model
 from textprep.operators.sampling import SEED, balance, shuffle_rows
 from textprep.plans.jobs import (
     Baseline,
     clean_table,
     encode_splits,
     parse_lines,
+    predict_with_rules,
     prepare,
     train_baseline,
     train_marked_baseline,
@@ -32,6 +43,7 @@ from textprep.sources.files import (
     materialize,
     read_csv,
     read_lines,
+    scratch_scope,
     write_csv,
     write_splits,
 )
@@ -39,10 +51,35 @@ from textprep.sources.files import (
 ROW_ID = "row_id"
 
 
+PLACE = ("row_file", "row_block", ROW_ID)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df``, straight from a reader, with the columns ``PLACE`` that put rows in file order."""
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias(PLACE[0]),
+        F.col("_metadata.file_block_start").alias(PLACE[1]),
+        F.monotonically_increasing_id().alias(ROW_ID),
+    )
+
+
+def scoped(run):
+    """Delete the scratch tables of a run when it ends."""
+
+    @wraps(run)
+    def inside(spark, *args, **kwargs):
+        with scratch_scope(spark):
+            return run(spark, *args, **kwargs)
+
+    return inside
+
+
+@scoped
 def parse_files(
     spark: SparkSession,
     paths: Mapping[str, str],
@@ -51,6 +88,7 @@ def parse_files(
     strategies: Sequence[str] = ("under", "over"),
     relabel_train: bool = False,
     seed: int = SEED,
+    multi_line: bool = False,
 ) -> dict[str, str]:
     """Parse the raw file of each split; correct and balance the one named ``train``.
 
@@ -64,7 +102,7 @@ def parse_files(
         write_csv(df.select("text", "label_str", "label"), written[name])
 
     for split, path in paths.items():
-        parsed = parse_lines(numbered(read_lines(spark, path)), label_codes(language))
+        parsed = parse_lines(numbered(read_lines(spark, path, multi_line)), label_codes(language))
         training = split == "train"
         if training and relabel_train:
             parsed = relabel(parsed, relabel_mask(TAMIL_HOPE_WORD, TAMIL_NEGATIONS))
@@ -77,6 +115,7 @@ def parse_files(
     return written
 
 
+@scoped
 def prepare_files(
     spark: SparkSession,
     paths: Mapping[str, str],
@@ -84,25 +123,29 @@ def prepare_files(
     out_dir: str,
     lang: str,
     script: str | None = None,
+    multi_line: bool = True,
 ) -> dict[str, str]:
     """Clean each split; the synthetic rows join the split named ``train``, real rows first."""
     written = {}
     for split, path in paths.items():
-        sources = [numbered(load_checked(spark, path))]
+        sources = [placed(load_checked(spark, path, multi_line=multi_line))]
         if split == "train":
-            sources.append(numbered(load_checked(spark, synthetic)))
+            sources.append(placed(load_checked(spark, synthetic, multi_line=multi_line)))
         written[split] = f"{out_dir}/{split}"
-        write_csv(prepare(sources, [ROW_ID], lang, script).drop(ROW_ID), written[split])
+        write_csv(prepare(sources, PLACE, lang, script).drop(*PLACE), written[split])
     return written
 
 
-def clean_file(spark: SparkSession, path: str, out_path: str, language: str) -> DataFrame:
+def clean_file(
+    spark: SparkSession, path: str, out_path: str, language: str, multi_line: bool = True
+) -> DataFrame:
     """Clean a header CSV whose text and label columns are found by name."""
-    cleaned = clean_table(read_csv(spark, path), language)
+    cleaned = clean_table(read_csv(spark, path, multi_line=multi_line), language)
     write_csv(cleaned, out_path)
     return cleaned
 
 
+@scoped
 def train_files(
     spark: SparkSession,
     train: str,
@@ -111,20 +154,44 @@ def train_files(
     test: str | None = None,
     marked: bool = False,
     max_features: int = 5000,
+    multi_line: bool = True,
 ) -> Baseline:
     """Train on CSV files and save the model; absent dev and test files are done without.
 
-    ``marked`` files carry their label as a marker inside the text; they need a dev file.
+    ``marked`` files carry their label as a marker inside the text. The reports are computed here;
+    they hold a few rows.
     """
-    rows = numbered(load_checked(spark, train, ["text"] if marked else ["text", "label"]))
+    columns = ["text"] if marked else ["text", "label"]
+    rows = numbered(load_checked(spark, train, columns, multi_line=multi_line))
     rows = materialize(rows, "train")
-    dev_df, test_df = (load_optional(spark, p) if p else None for p in (dev, test))
+    dev_df, test_df = (
+        load_optional(spark, p, multi_line=multi_line) if p else None for p in (dev, test)
+    )
     fit = train_marked_baseline if marked else train_baseline
     baseline = fit(rows, [ROW_ID], dev_df, test_df, max_features=max_features)
     save_model(baseline.model, model_path)
+    for name, report in baseline.reports.items():
+        baseline.reports[name] = spark.createDataFrame(report.collect(), report.schema)
     return baseline
 
 
+@scoped
+def predict_files(
+    spark: SparkSession,
+    model_path: str,
+    path: str,
+    out_path: str,
+    positive: Sequence[str] = ENGLISH_POSITIVE,
+    negative: Sequence[str] = ENGLISH_NEGATIVE,
+    multi_line: bool = True,
+) -> str:
+    """Score the texts of a CSV file with a saved model and the phrase rules; returns ``out_path``."""
+    rows = load_checked(spark, path, ["text"], multi_line=multi_line)
+    write_csv(predict_with_rules(load_model(model_path), rows, positive, negative), out_path)
+    return out_path
+
+
+@scoped
 def encode_file(
     spark: SparkSession,
     path: str,
@@ -132,9 +199,10 @@ def encode_file(
     fraction: float = 0.1,
     max_length: int = 128,
     vocabulary_size: int = 5000,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Encode a CSV file into train and validation splits; returns the written dataset."""
-    rows = materialize(numbered(load_checked(spark, path)), "rows")
+    rows = materialize(numbered(load_checked(spark, path, multi_line=multi_line)), "rows")
     encoded = encode_splits(rows, ROW_ID, fraction, vocabulary_size, max_length).drop(ROW_ID)
     stored = [c for c in ("labels", "toxic_positivity") if c in encoded.columns]
     write_splits(encoded.withColumns({c: F.col(c).cast("bigint") for c in stored}), out_dir)

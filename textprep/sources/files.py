@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textprep.schema import RAW_SCHEMA, require_columns
 
 
+#: Columns of numbers in files without a schema.
+LABEL_COLUMNS = ("label", "labels", "toxic_positivity")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a table read from few splits one partition per core; others are left as they are.
 
@@ -51,15 +56,29 @@ def read_csv(
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
 ) -> DataFrame:
-    """Table from CSV files with a header. Without ``schema`` types are inferred (an extra pass)."""
+    """Table from CSV files with a header.
+
+    Without ``schema`` all columns are strings, except that the label columns are numbers: values
+    that are none, such as a stray word, become null. Texts that look like numbers stay texts.
+    ``multi_line`` reads quoted line breaks, but one task then reads a whole file; turn it off for
+    files known to have none.
+    """
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is not None:
+        return reader.schema(schema).csv(path)
+    df = reader.csv(path)
+    return df.withColumns({c: whole_number(c) for c in df.columns if c in LABEL_COLUMNS})
+
+
+def whole_number(column: str) -> Column:
+    """An integer from ``1`` or ``1.0``, else null."""
+    value = F.expr(f"try_cast(trim(`{column}`) AS double)")
+    return F.when(value == F.floor(value), value.try_cast("int"))
 
 
 def load_checked(
@@ -67,17 +86,21 @@ def load_checked(
     path: str,
     columns: Sequence[str] = ("text", "label"),
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a CSV table that must exist and must have ``columns``."""
-    return require_columns(read_csv(spark, path, schema), columns)
+    return require_columns(read_csv(spark, path, schema, multi_line), columns)
 
 
 def load_optional(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame | None:
     """Read a CSV table, or return ``None`` if there is nothing at ``path``."""
     try:
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -115,17 +138,44 @@ def read_split(
 MODEL_COLUMNS = ("input_ids", "attention_mask", "labels")
 
 
+_scopes: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:  # else the session has ended
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`scratch_path` gave out inside."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session, where driver and executors share a disk, may go without the setting.
+    Where it is unset, the folder lies below the warehouse, which is shared too. What is written
+    there is deleted when the scope around the call ends, or else when the program does.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/textprep-{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    )
+    path = f"{base.rstrip('/')}/textprep-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(delete, spark, path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
