@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
 from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from textprep.llm.common import Scratch
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -168,6 +169,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at_end = "2L AS seq, n * 2 AS start, 0L AS removed, concat(' ', right(text, cast(n div 10 AS int)))"
     edits = F.expr(f"array(struct({inside} AS inserted), struct({at_end} AS inserted))")
     counted = counted.withColumn("n", F.length("text").cast("long"))
+    counted = Scratch(spark, "counts").save(counted, "state")
     edited = token_counts.apply_edits(counted, edits)
     return edited.select(
         "doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),

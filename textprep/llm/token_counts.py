@@ -19,13 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from textprep.llm.common import packed, quoted, unpacked
+from textprep.llm.common import packed, quoted, sliced, unpacked
 from textprep.llm.tokens import Encoder, default_path
 
 LEAF = 32
@@ -144,25 +144,37 @@ def edit(counter: Counter, text: str, tree: Tree, start: int, removed: int, inse
     return new, found[-1] - at
 
 
+def per_row(df: DataFrame, columns: Sequence[str], more: str, rows_of) -> DataFrame:
+    """``df``'s struct ``doc`` with new fields; ``rows_of`` makes them from lists of ``columns``."""
+    schema = T.StructType([df.schema["doc"], *T.StructType.fromDDL(more).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = rows_of()
+        for batch in sliced(batches, 250):
+            values = [batch.column(c).to_pylist() for c in columns]
+            rows = [make(*row) for row in zip(*values)]
+            fields = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *fields], schema.names)
+
+    types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+    return df.mapInArrow(run, schema)
+
+
 def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``tree`` (leaf lengths and counts) and ``n_tokens``."""
     path = path or default_path()
 
-    @F.pandas_udf(f"tree {TREE}, n_tokens long")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def rows_of():
         counter = Counter(path)
-        for texts in batches:
-            trees = [build(counter, t or "") for t in texts]
-            yield pd.DataFrame(
-                {
-                    "tree": [{"chars": c, "tokens": n} for c, n in trees],
-                    "n_tokens": [sum(n) for _, n in trees],
-                }
-            )
 
-    out = packed(docs).withColumn("counted", counted(F.col(f"doc.{quoted(text)}")))
-    fields = {c: F.col(f"counted.{c}") for c in ("tree", "n_tokens")}
-    return unpacked(out, docs.columns, **fields)
+        def make(value):
+            chars, tokens = build(counter, value or "")
+            return {"chars": chars, "tokens": tokens}, sum(tokens)
+
+        return make
+
+    out = per_row(packed(docs, value=text), ["value"], f"tree {TREE}, n_tokens long", rows_of)
+    return unpacked(out, docs.columns, tree=F.col("tree"), n_tokens=F.col("n_tokens"))
 
 
 def apply_edits(
@@ -171,32 +183,36 @@ def apply_edits(
     """The state after the edits of each row, an array of ``seq, start, removed, inserted``.
 
     Replaces ``text``, ``tree`` and ``n_tokens``, and adds ``n_encoded``, the code points encoded.
+    Store the state of a large corpus before it is edited; it is what later edits start from.
     """
     path = path or default_path()
 
-    @F.pandas_udf(f"text string, tree {TREE}, n_tokens long, n_encoded long")
-    def edited(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def rows_of():
         counter = Counter(path)
-        for texts, chars, tokens, lists in batches:
-            rows = []
-            for t, c, n, todo in zip(texts, chars, tokens, lists):
-                t, tree, encoded = t or "", Tree(list(c), list(n)), 0
-                for x in sorted([] if todo is None else todo, key=lambda x: x["seq"] or 0):
-                    if x["start"] is not None and x["removed"] is not None:
-                        t, more = edit(
-                            counter, t, tree, int(x["start"]), int(x["removed"]), x["inserted"] or ""
-                        )
-                        encoded += more
-                leaves = {"chars": tree.chars[0], "tokens": tree.tokens[0]}
-                rows.append((t, leaves, tree.total, encoded))
-            yield pd.DataFrame(rows, columns=["text", "tree", "n_tokens", "n_encoded"])
-
-    out = packed(state, edits=edits)
-    tree = f"doc.{quoted('tree')}"
-    call = edited(f"doc.{quoted(text)}", f"{tree}.chars", f"{tree}.tokens", F.col("edits").cast(f"array<{EDIT}>"))
-    out = out.withColumn("edited", call)
-    fields = {c: F.col(f"edited.{c}") for c in ("tree", "n_tokens", "n_encoded")}
-    return unpacked(out, state.columns, **{text: F.col("edited.text")}, **fields)
+
+        def make(value, old, todo):
+            value, encoded = value or "", 0
+            tree = Tree(old["chars"], old["tokens"])
+            for x in sorted(todo or [], key=lambda x: x["seq"] or 0):
+                if x["start"] is not None and x["removed"] is not None:
+                    change = x["start"], x["removed"], x["inserted"] or ""
+                    value, more = edit(counter, value, tree, *change)
+                    encoded += more
+            leaves = {"chars": tree.chars[0], "tokens": tree.tokens[0]}
+            return value, leaves, tree.total, encoded
+
+        return make
+
+    if isinstance(edits, str):
+        edits = F.col(quoted(edits))
+    others = [c for c in state.columns if c not in (text, "tree", "n_tokens", "n_encoded")]
+    out = packed(
+        state, others or None, value=text, old="tree", todo=edits.cast(f"array<{EDIT}>")
+    )
+    fields = f"value string, tree {TREE}, n_tokens long, n_encoded long"
+    out = per_row(out, ["value", "old", "todo"], fields, rows_of)
+    new = {c: F.col(c) for c in ("tree", "n_tokens", "n_encoded")}
+    return unpacked(out, others, **{text: F.col("value")}, **new)
 
 
 def with_edits(state: DataFrame, edits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
