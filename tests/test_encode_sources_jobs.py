@@ -199,3 +199,10 @@ def test_encode_splits(spark, labelled):
     assert len(rows) == 90 and sum(r.split == "validation" for r in rows) == 9
     assert all(len(r.input_ids) == 6 == len(r.attention_mask) for r in rows)
     assert np.mean([r.input_ids[0] for r in rows]) == 0
+
+
+def test_rows_that_share_an_id_are_encoded_apart(spark):
+    df = spark.createDataFrame([(1, "a b", 0), (1, "c", 1), (2, None, 0)], "doc_id long, text string, label int")
+    ids = enc.fit_ids(df)
+    got = enc.encode_ids(df, ids, "doc_id", max_length=5).collect()
+    assert sorted((r.doc_id, r.label, sum(r.attention_mask)) for r in got) == [(1, 0, 4), (1, 1, 3), (2, 0, 2)]

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,46 @@ def test_encode_file(spark, tmp_path, folder):
     assert counts(out, "split") == {"train": 36, "validation": 4}
     part = read_split(spark, folder, "validation", ["input_ids", "attention_mask", "labels"])
     assert part.where(F.size("input_ids") == 128).count() == 4
+
+
+def test_texts_that_look_like_numbers_and_junk_labels(spark, tmp_path):
+    out = str(tmp_path)
+    Path(out, "in.csv").write_text("text,label\n007,1\n1.50,1.0\n3,junk\n4,0.5\n")
+    rows = read_csv(spark, f"{out}/in.csv").collect()
+    assert [(r.text, r.label) for r in rows] == [("007", 1), ("1.50", 1), ("3", None), ("4", None)]
+
+
+def test_a_file_without_line_breaks_in_texts_is_split(spark, tmp_path):
+    out = str(tmp_path)
+    Path(out, "in.csv").write_text("text,label\n" + "some longer text here,1\n" * 20000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert read_csv(spark, f"{out}/in.csv", multi_line=False).rdd.getNumPartitions() > 4
+        assert read_csv(spark, f"{out}/in.csv").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_survivors_follow_the_order_of_files(spark, tmp_path):
+    out = str(tmp_path)
+    Path(out, "real").mkdir()
+    body = {"a": ["same", "x1"], "b": ["same", *[f"y{i}" for i in range(50)]], "c": ["same", "z1"]}
+    for name, texts in body.items():
+        lines = [f"{t},1,{name}" for t in texts]
+        Path(out, "real", f"{name}.csv").write_text("\n".join(["text,label,origin", *lines]) + "\n")
+    Path(out, "synthetic.csv").write_text("text,label,origin\nsame,1,s\nonly,0,s\n")
+    runs.prepare_files(
+        spark, {"train": f"{out}/real"}, f"{out}/synthetic.csv", f"{out}/done", "en", multi_line=False
+    )
+    got = {r.text: r.origin for r in read_csv(spark, f"{out}/done/train").collect()}
+    assert got["same"] == "a" and got["only"] == "s" and len(got) == 54
+
+
+def test_runs_leave_no_scratch_tables(spark, tmp_path):
+    out = str(tmp_path)
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.iterdir())
+    Path(out, "in.csv").write_text("text,label\n" + "".join(f"text number {i},{i % 3}\n" for i in range(40)))
+    encoded = runs.encode_file(spark, f"{out}/in.csv", f"{out}/encoded", max_length=8)
+    assert encoded.count() == 40 and {r.labels for r in encoded.collect()} == {0, 1, 2}
+    assert set(base.iterdir()) == before

@@ -115,6 +115,14 @@ def test_three_classes_split(spark):
     assert Counter(r.label for r in out.where("split = 'validation'").collect()) == {0: 5, 1: 3, 2: 2}
 
 
+def test_split_keeps_every_label_and_null(spark):
+    rows = [(i, None if i % 5 == 4 else i % 5) for i in range(200)]
+    out = sampling.stratified_split(spark.createDataFrame(rows, "id long, label int"), ["id"], 0.1)
+    got = Counter((r.label, r.split) for r in out.collect())
+    assert sum(got.values()) == 200
+    assert all(got[label, "validation"] == 4 for label in (None, 0, 1, 2, 3))
+
+
 def test_balance_strategies(spark):
     df = labelled(spark, {0: 30, 1: 10, 2: 4})
     sizes = {s: sampling.balance(df, ["id"], s).count() for s in ("under", "over", "none")}
