@@ -187,7 +187,21 @@ def test_no_terms_is_an_error(spark):
         md.fit_features(spark.createDataFrame([("a !",), (None,)], "text string"))
 
 
-def test_weights_skip_other_classes(spark):
+def test_weights_keep_rows_of_other_classes(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,), (2,), (None,)], "label int")
-    got = sorted((r.label, round(r.weight, 6)) for r in with_class_weight(df).collect())
-    assert got == [(0, 0.666667)] * 3 + [(1, 2.0)]
+
+    def weights(**kwargs):
+        rows = with_class_weight(df, **kwargs).collect()
+        return sorted(((r.label, r.weight and round(r.weight, 6)) for r in rows), key=str)
+
+    two = weights(classes=(0, 1))
+    assert two == [(0, 0.666667)] * 3 + [(1, 2.0), (2, None), (None, None)]
+    assert weights() == [(0, 0.555556)] * 3 + [(1, 1.666667), (2, 1.666667), (None, None)]
+
+
+def test_columns_and_names_of_the_user_do_not_clash(spark, training):
+    model = md.fit_baseline(training.withColumnRenamed("text", "my text"), "my text", max_features=50)
+    table = training.withColumnRenamed("text", "my text").withColumn("tokens", F.lit("own"))
+    scored = md.predict(model, table.withColumn("prediction", F.lit(7)))
+    assert scored.columns == [*table.columns, "prediction", "base_pred"]
+    assert {(r.tokens, r.prediction) for r in scored.collect()} == {("own", 7)}
