@@ -19,7 +19,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
     linked = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.where("u > v").distinct()
+    return linked.where("u > v")  # the small star after it removes repeated edges
 
 
 def small_star(edges: DataFrame) -> DataFrame:

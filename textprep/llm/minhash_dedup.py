@@ -249,7 +249,8 @@ def near_duplicates(
     blocks = scratch.save(blocks, "blocks")
     crossed = scratch.save(block_links(blocks, percent), "crossed")
     scratch.drop("blocks", "sets")
-    everything = links.union(more).union(crossed)
+    stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    everything = stars.union(more).union(crossed)
     found = scratch.save(components(everything, scratch, "last"), "final")
 
     members = classes.select("g1", "g2", "node", F.col("id").alias("least"))
