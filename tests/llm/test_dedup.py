@@ -151,3 +151,60 @@ def test_near_passages_are_verified(make_docs, words):
     got = remove_passages(make_docs(rows)).orderBy("doc_id").collect()
     assert got[0].repeats.n_removed == 0 and got[0].repeats.n_repeated > 60
     assert got[1].repeats.n_removed > 60 and list(got[1].repeats.first) == [0]
+
+
+@pytest.mark.parametrize("length, every", [(51, 26), (150, 38), (120, 1000)])
+def test_changed_passages_go_up_to_their_ends(make_docs, words, length, every):
+    passage, own = words(length), [words(40) for _ in range(3)]
+    changed = [[f"c{n}x{i}" if i % every == every - 1 else w for i, w in enumerate(passage)] for n in range(3)]
+    rows = [" ".join(o[:20] + p + o[20:]) for o, p in zip(own, [passage, *changed[1:]])]
+    got = remove_passages(make_docs(rows)).orderBy("doc_id").collect()
+    assert got[0].repeats.n_removed == 0 and got[0].repeats.n_repeated == length
+    for r, o in zip(got[1:], own[1:]):
+        assert r.repeats.n_removed == length and r.repeats.kept.split() == o and 0 in r.repeats.first
+
+
+def test_passages_behind_a_frequent_line_are_compared(make_docs, words):
+    line, rest = words(26), [words(30) for _ in range(6)]
+    rows = [" ".join(words(60) + line + words(60)) for _ in range(80)]
+    for n, shared in enumerate(rest):  # two documents hold each, in one of them with a changed word
+        other = [*shared[:12], f"c{n}", *shared[13:]]
+        rows += [" ".join(words(50) + line + s + words(50)) for s in (shared, other)]
+    got = remove_passages(make_docs(rows)).orderBy("doc_id").collect()
+    assert all(r.repeats.n_repeated == 0 for r in got[:80])
+    for n in range(6):
+        one, two = got[80 + 2 * n : 82 + 2 * n]
+        assert (one.repeats.n_repeated, one.repeats.n_removed, two.repeats.n_removed) == (56, 0, 56)
+        assert list(two.repeats.first) == [80 + 2 * n]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_large_group_gives_the_spans_of_all_pairs(monkeypatch, seed):
+    import numpy as np
+
+    from textprep.llm import substring_dedup as sd
+
+    rnd = np.random.default_rng(seed)
+    base = rnd.integers(1, 2**32, (3, sd.WIDTH), dtype=np.uint32)
+    base[:, sd.AROUND : sd.AROUND + 24] = base[0, sd.AROUND : sd.AROUND + 24]
+    rows = base[rnd.integers(0, 3, 150)]
+    for i in range(150):
+        rows[i, rnd.integers(0, sd.WIDTH, 2)] = 2 * i + 1, 2 * i + 2
+        ends = rnd.integers(0, 50, 2)
+        rows[i, : ends[0]] = rnd.integers(1, 2**32, ends[0], dtype=np.uint32)
+        rows[i, sd.WIDTH - ends[1] :] = rnd.integers(1, 2**32, ends[1], dtype=np.uint32)
+    rows[:, sd.AROUND : sd.AROUND + sd.SEED] = base[0, sd.AROUND : sd.AROUND + sd.SEED]
+
+    def spans():
+        zero = np.zeros(150, np.int64)
+        got = sd.spans_of(zero, np.arange(150), zero, zero + 100, rows, 80).to_pylist()
+        out = {}
+        for x in got:
+            for key in {(x["k1"], False), (x["k1"], x["remove"])}:
+                a, b = out.get(key, (999, 0))
+                out[key] = min(a, x["start"]), max(b, x["stop"])
+        return out
+
+    got = spans()
+    monkeypatch.setattr(sd, "SMALL", 1000)
+    assert got == spans() and len(got) > 50
