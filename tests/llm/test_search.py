@@ -52,6 +52,15 @@ def test_recall_on_vectors_without_structure(spark):
     assert found >= 0.9 * 100 * 20
 
 
+@pytest.mark.parametrize("n", [2000, 4000, 8000])
+def test_every_query_has_all_its_rows(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") % (n // 100) == 0).groupBy("query_id").count().collect()
+    assert len(got) == 100 and all(r["count"] == 20 for r in got)
+
+
 def test_nearest_without_rows_or_queries(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(empty, F.lit(True)).count() == 0
