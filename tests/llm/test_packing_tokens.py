@@ -122,3 +122,13 @@ def test_edits_from_a_table(spark, make_docs, tokenizer):
     assert texts == sorted(["1 and two three"] * 2 + ["new text", "", "y" * 9000])
     assert all(r.n_tokens == len(tokenizer(r.text)) for r in got)
     assert count_tokens(docs.limit(0)).count() == 0
+
+
+def test_added_tokens_get_their_ids(make_docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"a  {end}\n\n {end}  b", f"<{end}>", "<|endoftext|", "plain  text"]
+    rows = {r.doc_id: r.ids for r in pack_documents(make_docs(texts), with_ids=True).collect()}
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [rows[i] for i in range(len(texts))] == [[*w, 0] for w in want]

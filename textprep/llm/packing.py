@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textprep.llm.common import Scratch, group_count, quoted, sliced
-from textprep.llm.tokens import Encoder, default_path
+from textprep.llm.tokens import Encoder, added_tokens, default_path
 
 CAPACITY = 2048
 END_OF_TEXT = 0
@@ -50,7 +50,7 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, capacity: int, path: str,
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, added_tokens(path))
         end = np.array([END_OF_TEXT], "<u4")
         for batch in sliced(batches, 500):
             rows: list[tuple[int, int, int, int, int]] = []
