@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
-from textprep.llm import ann, fingerprints, line_dedup, minhash_dedup, mixing, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from textprep.llm import (
+    ann, fingerprints, line_dedup, merkle, minhash_dedup, mixing, packing, substring_dedup,
+    suffix_dedup, token_counts, toxicity,
+)
 from textprep.llm.common import Scratch
 
 QUERIES: dict[str, Query] = {}
@@ -175,3 +178,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
         F.col("n").alias("n_chars"), "n_encoded", sha256("text").alias("edited_sha256"),
     )
+
+
+@query()
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all rows, and what a third of them lead to when tampered with."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    whole = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(changed, merkle.leaf(*whole, F.translate("text", upper, lower)))
+    manifest = merkle.build_manifest(
+        docs, merkle.leaf(*whole, F.col("text")), doc_id=F.col("doc_id"), tampered=tampered
+    )
+    proofs = merkle.prove(manifest, manifest.leaves)
+    folded = merkle.folded("path", F.coalesce("tampered", "leaf"))
+    proofs = proofs.withColumn("folded_root", folded)
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_digest("path").alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
