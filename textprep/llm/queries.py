@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
 from textprep.llm import (
-    ann, fingerprints, line_dedup, merkle, minhash_dedup, mixing, packing, substring_dedup,
+    ann, fingerprints, lexical, line_dedup, merkle, minhash_dedup, mixing, packing, substring_dedup,
     suffix_dedup, token_counts, toxicity,
 )
 from textprep.llm.common import Scratch
@@ -198,3 +198,39 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", merkle.siblings_digest("path").alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents),
+item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS q FROM item_terms GROUP BY item_id, term),
+sizes AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms
+        WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), corpus),
+impacts AS (
+  SELECT doc_id, term,
+         (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * corpus.docs) // corpus.terms)) AS i
+  FROM tfs JOIN sizes USING (doc_id), corpus),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(q * w * i) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM scores WHERE score > 0)
+WHERE rank <= 20
+""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = lexical.search(docs, items)
+    return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
