@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,18 @@ class Scratch:
         self.drop("")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """Actions inside send at most ``rows`` rows at once to Python: for rows that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.catalog.registry import Query
 from textprep.llm import (
-    ann, fingerprints, lexical, line_dedup, merkle, minhash_dedup, mixing, packing, substring_dedup,
-    suffix_dedup, token_counts, toxicity,
+    ann, fingerprints, lexical, line_dedup, merkle, minhash_dedup, mixing, packing, set_join,
+    substring_dedup, suffix_dedup, token_counts, toxicity,
 )
 from textprep.llm.common import Scratch
 
@@ -234,3 +234,9 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
     found = lexical.search(docs, items)
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+@query()
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return set_join.jaccard_links(docs, k=4, percent=85)
