@@ -21,6 +21,8 @@ cloudpickle.register_pickle_by_value(textprep.llm)
 
 #: White space of the operators on words and lines: space, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
+#: Tables of known size are written in files of so many rows: shared storage suffers from tiny ones.
+ROWS_A_FILE = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,7 +45,10 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/textprep-{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write and reread a table; ``rows`` bounds its size where it is known, and its files with it."""
+        if rows is not None:
+            df = df.coalesce(group_count(rows, ROWS_A_FILE))
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

@@ -45,8 +45,9 @@ def components(links: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
     edges = scratch.save(edges.where("u > v").distinct(), f"{name}0")
     before, step = fingerprint(edges), 0
     while True:
-        large = scratch.save(large_star(edges), f"{name}{step}large")
-        small = scratch.save(small_star(large), f"{name}{step + 1}")
+        # A large star has as many edges as it was given, a small star one for each node more.
+        large = scratch.save(large_star(edges), f"{name}{step}large", before[0])
+        small = scratch.save(small_star(large), f"{name}{step + 1}", 2 * before[0])
         scratch.drop(f"{name}{step}", f"{name}{step}large")
         edges, step, after = small, step + 1, fingerprint(small)
         if after == before:

@@ -43,7 +43,10 @@ TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
     for c in range(256)
 )
-INDEX = "segment long, term binary, docs long, most long, width int, last binary, top binary, postings binary, ids array<long>, lengths binary"
+INDEX = (
+    "segment long, term binary, docs long, most long, width int, last binary, top binary, "
+    "doc binary, tf binary, ids array<long>, lengths binary"
+)
 NAMES = [c.split()[0] for c in INDEX.split(", ")]
 
 
@@ -92,47 +95,53 @@ def build_index(docs: DataFrame, doc_id: str, text: str, documents: int, total:
             self.lengths.append(length_factor(len(terms), documents, total))
             self.terms += len(terms)
 
-        def lists(self, number: int) -> Iterator[dict]:
+        def lists(self, number: int) -> Iterator[pa.RecordBatch]:
             lengths = np.array(self.lengths, np.int64)
-            yield {"segment": number, "docs": len(self.ids), "ids": self.ids, "lengths": lengths.tobytes()}
+            head = {"segment": number, "docs": len(self.ids), "ids": self.ids, "lengths": lengths.tobytes()}
+            yield pa.RecordBatch.from_pylist([head], schema)
             pairs, tf = np.unique(np.concatenate(self.found), return_counts=True)
             self.found.clear()
             doc = (pairs & 0xFFFF).astype(np.int64)
             impact = impacts(tf, lengths[doc])
-            starts = np.searchsorted(pairs >> 16, np.arange(len(self.vocabulary) + 1))
-            for term, i in self.vocabulary.items():
-                a, b = starts[i], starts[i + 1]
-                blocks = np.arange(a, b, BLOCK)
-                top = np.maximum.reduceat(impact[a:b], blocks - a)
-                ends = np.minimum(blocks + BLOCK, b) - 1
-                width = 1 if tf[a:b].max() < 256 else 4
-                kind = "<u1" if width == 1 else "<u4"
-                payload = b"".join(
-                    doc[s : e + 1].astype("<u2").tobytes() + tf[s : e + 1].astype(kind).tobytes()
-                    for s, e in zip(blocks, ends)
+            size = len(self.vocabulary)
+            starts = np.searchsorted(pairs >> 16, np.arange(size + 1))
+            # Where each list's blocks begin, and where each block does.
+            blocks = np.append(0, np.cumsum(-(-np.diff(starts) // BLOCK)))
+            owner = np.repeat(np.arange(size), np.diff(blocks))
+            begins = starts[owner] + BLOCK * (np.arange(blocks[-1]) - blocks[owner])
+            ends = np.minimum(begins + BLOCK, starts[owner + 1]) - 1
+            top = np.maximum.reduceat(impact, begins)
+            width = 1 if tf.max() < 256 else 4
+
+            def cut(values: np.ndarray, kind: str, edges: np.ndarray) -> pa.Array:
+                offsets = (edges * np.dtype(kind).itemsize).astype("<i4")
+                data = values.astype(kind)
+                return pa.Array.from_buffers(
+                    pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(data)]
                 )
-                yield {
-                    "segment": number, "term": term, "docs": int(b - a), "most": int(top.max()),
-                    "width": width, "last": doc[ends].astype("<u2").tobytes(),
-                    "top": top.astype("<u4").tobytes(), "postings": payload,
-                }
+
+            columns = {
+                "segment": pa.array(np.full(size, number)),
+                "term": pa.array(list(self.vocabulary), pa.binary()),
+                "docs": pa.array(np.diff(starts)),
+                "most": pa.array(np.maximum.reduceat(top, blocks[:-1])),
+                "width": pa.array(np.full(size, width, np.int32)),
+                "last": cut(doc[ends], "<u2", blocks),
+                "top": cut(top, "<u4", blocks),
+                "doc": cut(doc, "<u2", starts),
+                "tf": cut(tf, f"<u{width}", starts),
+                "ids": pa.nulls(size, pa.list_(pa.int64())),
+                "lengths": pa.nulls(size, pa.binary()),
+            }
+            batch = pa.RecordBatch.from_arrays([columns[c] for c in NAMES], NAMES)
+            yield from sliced([batch], 5000)
 
     schema = pa.schema([
         ("segment", pa.int64()), ("term", pa.binary()), ("docs", pa.int64()), ("most", pa.int64()),
-        ("width", pa.int32()), ("last", pa.binary()), ("top", pa.binary()),
-        ("postings", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()),
+        ("width", pa.int32()), ("last", pa.binary()), ("top", pa.binary()), ("doc", pa.binary()),
+        ("tf", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()),
     ])
 
-    def written(segment: Segment, number: int) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for row in segment.lists(number):
-            rows.append(row)
-            if len(rows) == 5000:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, segment = TaskContext.get().partitionId() << 24, Segment()
         for batch in sliced(batches, 500):
@@ -142,11 +151,11 @@ def build_index(docs: DataFrame, doc_id: str, text: str, documents: int, total:
                     continue
                 full = len(segment.ids) == SEGMENT_DOCS
                 if segment.ids and (full or segment.terms + len(terms) > SEGMENT_TERMS):
-                    yield from written(segment, number)
+                    yield from segment.lists(number)
                     number, segment = number + 1, Segment()
                 segment.add(id_, terms)
         if segment.ids:
-            yield from written(segment, number)
+            yield from segment.lists(number)
 
     source = docs.select(F.col(quoted(doc_id)).cast("long"), quoted(text))
     return source.mapInArrow(rows, INDEX)
@@ -161,17 +170,16 @@ class Postings:
     width: int
     last: np.ndarray
     top: np.ndarray
-    payload: bytes
+    doc: bytes
+    tf: bytes
     lengths: np.ndarray
     whole: tuple[np.ndarray, np.ndarray] | None = None
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and impacts of block ``i``."""
         n = min(BLOCK, self.docs - i * BLOCK)
-        at = i * BLOCK * (2 + self.width)
-        doc = np.frombuffer(self.payload, "<u2", n, at).astype(np.int64)
-        kind = "<u1" if self.width == 1 else "<u4"
-        tf = np.frombuffer(self.payload, kind, n, at + 2 * n).astype(np.int64)
+        doc = np.frombuffer(self.doc, "<u2", n, 2 * i * BLOCK).astype(np.int64)
+        tf = np.frombuffer(self.tf, f"<u{self.width}", n, self.width * i * BLOCK).astype(np.int64)
         return doc, impacts(tf, self.lengths[doc])
 
     def decoded(self, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +250,7 @@ def search_segment(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             last = np.frombuffer(row["last"], "<u2").astype(np.int64)
             top = np.frombuffer(row["top"], "<u4").astype(np.int64)
             lists[row["term"]] = Postings(
-                row["docs"], row["most"], row["width"], last, top, row["postings"], lengths
+                row["docs"], row["most"], row["width"], last, top, row["doc"], row["tf"], lengths
             )
     out = {"query": [], "id": [], "score": []}
     for query in queries.to_pylist():
@@ -297,19 +305,20 @@ def search(
         F.col(quoted(query_text)).alias("text"),
     )
     numbered = numbered.withColumn("query", F.monotonically_increasing_id())
-    numbered = scratch.save(numbered, "queries")
-    terms = scratch.save(query_terms(numbered, "text"), "terms")
+    asked = queries.count()
+    numbered = scratch.save(numbered, "queries", asked)
+    terms = scratch.save(query_terms(numbered, "text"), "terms", 100 * asked)
 
     # Weights come from the lengths of the lists that some query needs.
     weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2 * F.col("df") + 1)))
     weights = index.select("term", "docs").join(terms.select("term").distinct(), "term")
     weights = weights.groupBy("term").agg(F.sum("docs").alias("df")).select("term", weight.alias("w"))
-    blocks = group_count(numbered.count(), QUERIES)
+    blocks = group_count(asked, QUERIES)
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
     weighted = terms.join(weights, "term").select(
         block, "query", "term", (F.col("w") * F.col("n")).alias("weight")
     )
-    weighted = scratch.save(weighted, "weighted")
+    weighted = scratch.save(weighted, "weighted", 100 * asked)
     asking = weighted.groupBy("block", "query").agg(
         F.collect_list(F.struct("term", "weight")).alias("terms")
     )

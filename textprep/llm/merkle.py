@@ -57,15 +57,16 @@ def height(nodes: Column) -> Column:
 
 
 def ranked(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str], scratch: Scratch, name: str
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], count: int, scratch: Scratch, name: str
 ) -> DataFrame:
     """``rows`` with ``rank``, the copies before a row among those equal in ``by``, and their ``total``.
 
-    ``rows`` have distinct ``by`` and ``order``, and say in ``copies`` how often each occurs. They are
-    dealt into ranges, which the written table fixes; sums of the ranges tell where each one starts.
+    ``rows``, at most ``count``, have distinct ``by`` and ``order``, and say in ``copies`` how often
+    each occurs. They are dealt into ranges, which the written table fixes; sums of the ranges tell
+    where each one starts.
     """
     dealt = rows.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id())
-    dealt = scratch.save(dealt, name)
+    dealt = scratch.save(dealt, name, count)
     sums = dealt.groupBy("range", *by).agg(F.sum("copies").alias("sum"))
     whole = Window.partitionBy(*by)
     before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,12 +92,13 @@ class Manifest:
     leaves: DataFrame
     records: DataFrame
     root: str | None
+    size: int  # leaves
     top: int  # digits of an address that name the partition
     depth: int  # digits of the longest address
     scratch: Scratch
 
 
-def tree(nodes: DataFrame, levels: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def tree(nodes: DataFrame, levels: int, size: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Records over ``part, rank, total, digest``, and ``part, digest`` of each part's last node."""
     records, tops = [], []
     for level in range(levels + 1):
@@ -116,7 +118,7 @@ def tree(nodes: DataFrame, levels: int, scratch: Scratch, name: str) -> tuple[Da
                 F.sha2(F.array_join(children, "").cast("binary"), 256).alias("digest"),
                 children.alias("children"),
             ),
-            f"{name}{level}",
+            f"{name}{level}", size // FANOUT ** (level + 1),
         )
         records.append(nodes.select("digest", "children"))
         nodes = nodes.drop("children")
@@ -146,16 +148,17 @@ def build_manifest(
         leaf_digest.alias("leaf"), *extra,
     )
     rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
-    rows = ranked(rows, ["partition"], ["key", "leaf", *columns], scratch, "rows")
-    rows = scratch.save(rows, "ranked")
+    size = docs.count()
+    rows = ranked(rows, ["partition"], ["key", "leaf", *columns], size, scratch, "rows")
+    rows = scratch.save(rows, "ranked", size)
 
     parts = rows.groupBy("partition").agg(F.first("total").alias("nodes"))
-    parts = ranked(parts.withColumn("copies", F.lit(1)), [], ["partition"], scratch, "parts")
+    parts = ranked(parts.withColumn("copies", F.lit(1)), [], ["partition"], size, scratch, "parts")
     parts = parts.select(
         F.col("partition").alias("p"), F.col("rank").alias("part"), "nodes",
         F.col("total").alias("parts"),
     )
-    parts = scratch.save(parts, "numbered")
+    parts = scratch.save(parts, "numbered", size)
     sizes = parts.agg(F.max(height(F.col("nodes"))), F.max(height(F.col("parts")))).first()
     low, top = sizes[0] or 0, sizes[1] or 0
 
@@ -164,22 +167,21 @@ def build_manifest(
     leaves = leaves.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     leaves = leaves.withColumn("rank", F.col("rank") + F.col("copy"))
     address = F.concat(octal("part", F.lit(top)), octal("rank", height(F.col("nodes"))))
-    leaves = scratch.save(
-        leaves.select("part", "rank", "total", "leaf", *columns, address.alias("address")), "leaves"
-    )
+    leaves = leaves.select("part", "rank", "total", "leaf", *columns, address.alias("address"))
+    leaves = scratch.save(leaves, "leaves", size)
     nodes = leaves.select("part", "rank", "total", F.col("leaf").alias("digest"))
-    inner, subroots = tree(nodes, low, scratch, "level")
+    inner, subroots = tree(nodes, low, size, scratch, "level")
     subroots = subroots.join(parts.select("part", "parts"), "part")
     over = subroots.select(
         F.lit(0).cast("long").alias("part"), F.col("part").alias("rank"),
         F.col("parts").alias("total"), "digest",
     )
-    outer, root = tree(scratch.save(over, "subroots"), top, scratch, "top")
+    outer, root = tree(scratch.save(over, "subroots", size), top, size, scratch, "top")
     records = inner.union(outer).groupBy("digest").agg(F.first("children").alias("children"))
-    records = scratch.save(records, "records")
+    records = scratch.save(records, "records", size)
     row = root.select("digest").first()
     given = leaves.select("leaf", *columns, "address")
-    return Manifest(given, records, row and row[0], top, top + low, scratch)
+    return Manifest(given, records, row and row[0], size, top, top + low, scratch)
 
 
 def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
@@ -194,13 +196,13 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     nodes = requests.select("parent").distinct().select(
         F.explode(F.expr("transform(sequence(0, length(parent)), i -> left(parent, i))")).alias("p")
     )
-    nodes = scratch.save(nodes.distinct(), "passed")
+    nodes = scratch.save(nodes.distinct(), "passed", manifest.size)
     start = [("", manifest.root, [], manifest.root if manifest.top == 0 else None)]
     met = spark.createDataFrame(start, f"prefix string, digest string, steps {PATH}, subroot string")
     opened = []
     for level in range(max(1, manifest.depth)):
         here = met.join(manifest.records, "digest").select("prefix", "children", "steps", "subroot")
-        here = scratch.save(here, f"opened{level}")
+        here = scratch.save(here, f"opened{level}", min(manifest.size, 4 * FANOUT**level))
         opened.append(here)
         below = here.select("*", F.posexplode("children").alias("digit", "digest"))
         below = below.withColumn("q", F.concat("prefix", F.col("digit").cast("string")))

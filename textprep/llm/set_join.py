@@ -8,9 +8,9 @@ token of both prefixes. The lists of prefix tokens are the index.
 
 Relations between sets keep hot lists from being expanded into pairs:
 
-* Every set of a list is compared with the least set there, its leader. Sets at least ``FAMILY``
-  percent similar to a leader form its family and are stored as differences from it: the tokens
-  removed and the tokens added.
+* The least set of a list is its leader. Every set is compared with the leader it meets most often;
+  sets at least ``FAMILY`` percent similar to a leader form its family and are stored as differences
+  from it: the tokens removed and the tokens added.
 * Answers within a family are derived from the leader's: sets S and R share ``|B| - |Ds| - |Dr| +
   |Ds & Dr| + |As & Ar|`` tokens, so only differences meet, block by block.
 * Between families, a list holds one entry per family and size class, with its sizes and the most
@@ -79,7 +79,7 @@ def frequent_buckets(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np
 
     counts = docs.select(quoted(text)).mapInArrow(rows, "bucket long, n long")
     scratch = Scratch(docs.sparkSession, "buckets")
-    counts = scratch.save(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.save(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "counts", BUCKETS)
     total = counts.agg(F.sum("n")).first()[0] or 0
     mean = max(1.0, total / BUCKETS)
     level = F.floor(F.log2(F.col("n") / mean)).alias("level")
@@ -205,16 +205,16 @@ def pairs_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(rows, "u long, v long").distinct()
 
 
-def candidates(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def candidates(entries: DataFrame, percent: int, total: int, scratch: Scratch) -> DataFrame:
     """Pairs of families ``u < v`` that hold sets which may link.
 
-    ``entries``: ``token, family, size`` (class), ``lo``, ``hi`` (set sizes) and ``left``.
+    ``entries``, ``total`` at most: ``token, family, size`` (class), ``lo``, ``hi`` (set sizes), ``left``.
     """
     lists = entries.groupBy("token").agg(
         F.min("family").alias("low"), F.max("family").alias("high"), F.count(F.lit(1)).alias("rows")
     )
-    lists = scratch.save(lists.where("low < high").select("token", "rows"), "lists")
-    entries = scratch.save(entries.join(lists, "token"), "mixed")
+    lists = scratch.save(lists.where("low < high").select("token", "rows"), "lists", total)
+    entries = scratch.save(entries.join(lists, "token"), "mixed", total)
 
     small = entries.where(F.col("rows") <= SMALL)
     one, two = small.alias("a"), small.alias("b")
@@ -226,7 +226,7 @@ def candidates(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     place = F.floor(F.col("hi") - F.col("left")) * 1000 / (F.col("hi") * (100 - percent) + 1)
     large = large.withColumn("place", F.floor(place).cast("int"))
     counts = large.groupBy("token", "size", "place").agg(F.count(F.lit(1)).alias("members"))
-    counts = scratch.save(counts, "sizes")
+    counts = scratch.save(counts, "sizes", total)
     salt = F.pmod(F.xxhash64("family"), F.expr(f"members div {SMALL} + 1"))
     blocks = large.join(counts, ["token", "size", "place"]).groupBy(
         "token", "size", "place", salt.alias("salt")
@@ -235,7 +235,7 @@ def candidates(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         F.collect_list(F.struct("family", "lo", "hi", "left")).alias("entries"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("left").alias("left"),
     )
-    blocks = scratch.save(blocks, "blocks")
+    blocks = scratch.save(blocks, "blocks", total)
     return pairs.union(pairs_in_blocks(blocks, percent)).distinct()
 
 
@@ -336,14 +336,14 @@ def linked_blocks(work: DataFrame, percent: int) -> DataFrame:
     return work.select(*columns).mapInArrow(rows, "node long, root long, links long")
 
 
-def families(stars: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def families(stars: DataFrame, nodes: DataFrame, kept: int, scratch: Scratch) -> DataFrame:
     """``node, n, copies, family, removed, added, far``: each node's leader and distance from it.
 
     A leader has no leader of its own; of several the most similar one is taken, then the least.
     """
     near = stars.where("removed IS NOT NULL")
     led = near.select(F.col("v").alias("u")).distinct()
-    near = near.join(scratch.save(led, "led"), "u", "left_anti")
+    near = near.join(scratch.save(led, "led", kept), "u", "left_anti")
     like = F.col("common") / (F.col("nu") + F.col("nv") - F.col("common"))
     chosen = near.groupBy("v").agg(
         F.max_by(
@@ -381,31 +381,43 @@ def jaccard_links(
     )
     classes = classes.withColumn("node", F.monotonically_increasing_id())
     classes = classes.select("node", "g1", "g2", "least", "row.*", "n", "copies", "prefix")
-    classes = scratch.save(classes, "classes")
+    classes = scratch.save(classes, "classes", 4 * rows.count())
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c"))
-    lists = scratch.save(lists.where("c > 1").select("token", "leader"), "tokens")
-    entries = scratch.save(entries.join(lists, "token"), "entries")
+    first = F.min(F.struct("node", F.col("n").alias("m"), F.col("pos").alias("at")))
+    lists = entries.groupBy("token").agg(first.alias("first"), F.count(F.lit(1)).alias("c"))
+    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    lists = scratch.save(lists.where("c > 1").select("token", F.col("first.node").alias("leader"), "first.m", "first.at"), "tokens", total)
+    entries = scratch.save(entries.join(lists, "token"), "entries", total)
+    total, kept = entries.count(), classes.count()
 
     needed = entries.select("node").distinct()
     nodes = classes.select("node", "k1", "k2", "n", "copies").join(needed, "node")
-    nodes = scratch.save(nodes, "nodes")
+    nodes = scratch.save(nodes, "nodes", kept)
     k1, k2 = row_key(doc_id, text)
     texts = docs.select(k1, k2, F.col(quoted(text)).alias("text"))
     texts = texts.join(nodes.select("node", "k1", "k2").hint("merge"), ["k1", "k2"])
-    sets = full_sets(texts.select("node", "text"), k).dropDuplicates(["node"])
     with small_batches(docs.sparkSession):
-        sets = scratch.save(sets, "sets")
-
-        # Families around the leaders of the lists.
-        stars = entries.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-        stars = scratch.save(compared(stars.distinct(), sets, FAMILY), "stars")
-        placed = families(stars, nodes.select("node", "n", "copies"), scratch)
-        placed = scratch.save(placed, "families")
+        sets = scratch.save(full_sets(texts.select("node", "text"), k), "sets")
+        if sets.count() > nodes.count():  # rows of one id and text
+            sets = scratch.save(sets.dropDuplicates(["node"]), "distinct")
+        scratch.free_shuffles()
+
+        # Families around leaders: of those that may link with a node, the one it meets most often.
+        ahead = entries.where("node <> leader").select(
+            F.col("leader").alias("u"), F.col("node").alias("v"),
+            F.struct(F.col("n").alias("lo"), F.col("n").alias("hi"), F.expr("n - pos").alias("left")).alias("b"),
+            F.struct(F.col("m").alias("lo"), F.col("m").alias("hi"), F.expr("m - at").alias("left")).alias("a"),
+        )
+        ahead = ahead.where(may_link("a", "b", percent)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
+        stars = ahead.groupBy("v").agg(F.max(F.struct("c", (-F.col("u")).alias("u"))).alias("best"))
+        stars = scratch.save(stars.select((-F.col("best.u")).alias("u"), "v"), "leaders", kept)
+        stars = scratch.save(compared(stars, sets, FAMILY), "stars", 4 * kept)
+        placed = families(stars, nodes.select("node", "n", "copies"), kept, scratch)
+        placed = scratch.save(placed, "families", 4 * kept)
         sizes = placed.groupBy("family").agg(
             F.count(F.lit(1)).alias("members"), F.max("far").alias("far")
         )
-        sizes = scratch.save(sizes, "sized")
+        sizes = scratch.save(sizes, "sized", kept)
 
         # Families with sets that may link, and what their leaders say about them.
         step = math.log(100 / percent) if percent < 100 else 1.0
@@ -414,36 +426,39 @@ def jaccard_links(
         listed = listed.groupBy("token", "family", size_class.alias("size")).agg(
             F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - pos")).alias("left")
         )
-        pairs = scratch.save(candidates(listed, percent, scratch), "pairs")
-        bases = scratch.save(compared(pairs, sets, 101).drop("removed", "added"), "bases")
+        scratch.free_shuffles()
+        pairs = scratch.save(candidates(listed, percent, total, scratch), "pairs")
+        met = pairs.count()
+        bases = scratch.save(compared(pairs, sets, 101).drop("removed", "added"), "bases", 4 * met)
         for c in "uv":
             of = sizes.select(
                 F.col("family").alias(c), F.col("members").alias(f"members_{c}"), F.col("far").alias(f"far_{c}")
             )
             bases = bases.join(of, c)
         union = F.col("nu") + F.col("nv") - F.col("common")
-        apart = 1 - F.col("common") / union
+        distance = 1 - F.col("common") / union
         both = F.expr("members_u = 1 AND members_v = 1")
         alone = bases.where(both & (100 * F.col("common") >= percent * union)).select("u", "v")
         reach = 1 - percent / 100 + F.col("far_u") + F.col("far_v") + 1e-9
-        wide = bases.where(~both & (apart <= reach)).select("u", "v")
-        wide = scratch.save(wide, "wide")
+        wide = bases.where(~both & (distance <= reach)).select("u", "v")
+        wide = scratch.save(wide, "wide", met)
+        scratch.free_shuffles()
 
         # Members in blocks of one family and size class.
         asked = sizes.where("members > 1").select("family")
         asked = asked.union(wide.select("u")).union(wide.select("v")).distinct()
-        grouped = placed.withColumn("size", size_class).join(scratch.save(asked, "asked"), "family")
+        grouped = placed.withColumn("size", size_class).join(scratch.save(asked, "asked", kept), "family")
         counts = grouped.groupBy("family", "size").agg(
             F.count(F.lit(1)).alias("count"), F.max("n").alias("longest")
         )
-        grouped = grouped.join(scratch.save(counts, "counts"), ["family", "size"])
+        grouped = grouped.join(scratch.save(counts, "counts", kept), ["family", "size"])
         room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_TOKENS} div longest")))
         salt = F.pmod(F.xxhash64("node"), F.floor(F.col("count") / room) + 1)
         blocks = grouped.groupBy("family", "size", salt.alias("salt")).agg(
             F.collect_list(F.struct("node", "n", "copies", "removed", "added")).alias("members")
         )
         blocks = blocks.withColumn("block", F.monotonically_increasing_id())
-        blocks = scratch.save(blocks, "members")
+        blocks = scratch.save(blocks, "members", 4 * kept)
         names = blocks.select("family", "size", "block")
         one, two = names.alias("a"), names.alias("b")
         near = F.abs(F.col("a.size") - F.col("b.size")) <= 1
@@ -451,11 +466,13 @@ def jaccard_links(
         several = sizes.where("members > 1").select(F.col("family").alias("f"))
         kin = kin.join(several, F.col("a.family") == F.col("f"))
         kin = kin.select(F.col("a.block").alias("b1"), F.col("b.block").alias("b2"), F.lit(True).alias("kin"))
-        met = wide.join(one, F.expr("u = a.family")).join(two, F.expr("v = b.family") & near)
-        met = met.select(F.col("a.block").alias("b1"), F.col("b.block").alias("b2"), F.lit(False).alias("kin"))
-        work = scratch.save(kin.union(met), "work")
+        apart = wide.join(one, F.expr("u = a.family")).join(two, F.expr("v = b.family") & near)
+        apart = apart.select(
+            F.col("a.block").alias("b1"), F.col("b.block").alias("b2"), F.lit(False).alias("kin")
+        )
+        work = scratch.save(kin.union(apart), "work", kept + met)
         based = blocks.join(sets, F.col("family") == F.col("node"))
-        based = scratch.save(based.select("block", "tokens", "members"), "based")
+        based = scratch.save(based.select("block", "tokens", "members"), "based", 8 * kept)
         for i in "12":
             side = based.select(
                 F.col("block").alias(f"b{i}"), F.col("tokens").alias(f"base{i}"), F.col("members").alias(f"members{i}")
@@ -471,15 +488,15 @@ def jaccard_links(
     counted = ways.select("node", F.col("copies").alias("links")).union(found.select("node", "links"))
     counted = counted.groupBy("node").agg(F.sum("links").alias("links"))
     edges = alone.union(found.where("node <> root").select("node", "root"))
-    placed = components(scratch.save(edges, "edges"), scratch, "linked")
+    placed = components(scratch.save(edges, "edges", 2 * (kept + met)), scratch, "linked")
 
     members = classes.select("g1", "g2", "node", "copies", "least")
     members = members.join(counted, "node", "left").join(placed, "node", "left")
-    members = scratch.save(members.withColumn("c", F.coalesce("component", "node")), "joined")
+    members = scratch.save(members.withColumn("c", F.coalesce("component", "node")), "joined", kept)
     roots = members.groupBy("c").agg(F.min("least").alias("component_id"))
     links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    members = members.join(scratch.save(roots, "roots"), "c").select("g1", "g2", "component_id", links)
-    members = scratch.save(members, "answers")
+    members = members.join(scratch.save(roots, "roots", kept), "c").select("g1", "g2", "component_id", links)
+    members = scratch.save(members, "answers", kept)
     scratch.drop("sets", "stars", "entries", "members", "based", "families", "mixed", "blocks")
     placed = rows.select("id", "n", "g1", "g2").join(members, ["g1", "g2"], "left")
     return placed.select(
