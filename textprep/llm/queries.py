@@ -180,7 +180,66 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, text,
+    coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-')
+    || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+    || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      range(8 * len(doc_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0
+        THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INTEGER, 1)) ELSE 0 END::BIGINT)),
+      lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) // 2, 3988292384::BIGINT)
+                        ELSE xor(c, b) // 2 END) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang,
+    sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 3 = 0 THEN sha256(head || coalesce(
+      strlen(text)::VARCHAR || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+  FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS p
+  FROM hashed),
+tree AS (
+  SELECT p, 0 AS lvl, i, leaf AS d, n FROM leaves
+  UNION ALL
+  SELECT p, lvl + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 7) // 8
+  FROM tree WHERE n > 1 GROUP BY p, lvl, i // 8),
+subroots AS (SELECT p, d FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, p - 1 AS i, d, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 7) // 8
+  FROM top WHERE n > 1 GROUP BY lvl, i // 8),
+steps AS (
+  SELECT p, lvl, i, d, i // 8 AS run, n FROM tree WHERE n > 1),
+low AS (
+  SELECT p, 0 AS lvl, i AS leaf_i, i, coalesce(tampered, leaf) AS f, '' AS proof, n FROM leaves
+  UNION ALL
+  SELECT a.p, a.lvl + 1, a.leaf_i, a.i // 8,
+    sha256(string_agg(CASE WHEN s.i = a.i THEN a.f ELSE s.d END, '' ORDER BY s.i)),
+    any_value(a.proof) || coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (s.i <> a.i), ''),
+    (max(a.n) + 7) // 8
+  FROM low a JOIN steps s ON a.p = s.p AND a.lvl = s.lvl AND a.i // 8 = s.run
+  WHERE a.n > 1 GROUP BY a.p, a.lvl, a.leaf_i, a.i),
+high AS (
+  SELECT p, leaf_i, 0 AS lvl, p - 1 AS i, f, proof, (SELECT max(n) FROM top) AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT a.p, a.leaf_i, a.lvl + 1, a.i // 8,
+    sha256(string_agg(CASE WHEN s.i = a.i THEN a.f ELSE s.d END, '' ORDER BY s.i)),
+    any_value(a.proof) || coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (s.i <> a.i), ''),
+    (max(a.n) + 7) // 8
+  FROM high a JOIN top s ON a.lvl = s.lvl AND a.i // 8 = s.i // 8
+  WHERE a.n > 1 GROUP BY a.p, a.leaf_i, a.lvl, a.i)
+SELECT l.doc_id, l.leaf, s.d AS subroot, r.d AS root, sha256(h.proof) AS proof_sha256,
+       h.f AS folded_root, h.f = r.d AS verified
+FROM leaves l JOIN high h ON h.p = l.p AND h.leaf_i = l.i AND h.n = 1
+JOIN subroots s ON s.p = l.p, (SELECT d FROM top WHERE n = 1) r
+""")
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs of all rows, and what a third of them lead to when tampered with."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
@@ -236,7 +295,30 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
 
 
-@query()
+@query("""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach AS (
+  SELECT u AS a, v AS b FROM links
+  UNION
+  SELECT a, v FROM reach JOIN links ON b = u)
+SELECT words.doc_id, coalesce(n, 0) AS n_shingles,
+       least(words.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = words.doc_id), words.doc_id)) AS component_id,
+       (SELECT count(*) FROM links WHERE u = words.doc_id) AS n_links
+FROM words LEFT JOIN sizes USING (doc_id)
+""")
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return set_join.jaccard_links(docs, k=4, percent=85)
