@@ -13,9 +13,10 @@ Relations between sets keep hot lists from being expanded into pairs:
   from it: the tokens removed and the tokens added.
 * Answers within a family are derived from the leader's: sets S and R share ``|B| - |Ds| - |Dr| +
   |Ds & Dr| + |As & Ar|`` tokens, so only differences meet, block by block.
-* Between families, a list holds one entry per family and size class, with its sizes and the most
-  that can still be shared from that position on. Lists over ``SMALL`` entries are cut into blocks by
-  size class and position; a pair of blocks is skipped if its sizes or positions exclude a link.
+* Lists of up to ``SMALL`` sets give pairs, those whose sizes and positions allow a link. A longer list
+  holds one entry per family and size class, with its sizes and the most that can still be shared
+  from that position on, and is cut into blocks by size class and position; a pair of blocks is
+  skipped if its sizes or positions exclude a link.
   Leaders of families that remain are compared exactly. By the triangle inequality of Jaccard
   distance most pairs of families are settled by that; the members of the others are compared.
 
@@ -47,7 +48,7 @@ PERCENT = 80
 FAMILY = 50
 #: Hash buckets of the token counts; a bucket counts as frequent from ``FREQUENT`` times the mean.
 BUCKETS, FREQUENT = 1 << 20, 4
-#: Lists of up to so many entries give pairs as rows; longer ones are cut into blocks of that size.
+#: Lists of up to so many sets give pairs as rows; longer ones are cut into blocks of that size.
 SMALL = 64
 #: Members and tokens of a block of a family.
 BLOCK, BLOCK_TOKENS = 1024, 400_000
@@ -205,38 +206,38 @@ def pairs_in_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(rows, "u long, v long").distinct()
 
 
-def candidates(entries: DataFrame, percent: int, total: int, scratch: Scratch) -> DataFrame:
-    """Pairs of families ``u < v`` that hold sets which may link.
-
-    ``entries``, ``total`` at most: ``token, family, size`` (class), ``lo``, ``hi`` (set sizes), ``left``.
-    """
-    lists = entries.groupBy("token").agg(
-        F.min("family").alias("low"), F.max("family").alias("high"), F.count(F.lit(1)).alias("rows")
+def small_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets ``u < v`` that meet in a list of up to ``SMALL`` entries and may link."""
+    small = entries.where(F.col("rows") <= SMALL).select(
+        "token", "node", F.col("n").alias("lo"), F.col("n").alias("hi"), F.expr("n - pos").alias("left")
     )
-    lists = scratch.save(lists.where("low < high").select("token", "rows"), "lists", total)
-    entries = scratch.save(entries.join(lists, "token"), "mixed", total)
-
-    small = entries.where(F.col("rows") <= SMALL)
     one, two = small.alias("a"), small.alias("b")
-    met = one.join(two, F.expr("a.token = b.token AND a.family < b.family") & may_link("a", "b", percent))
-    pairs = met.select(F.col("a.family").alias("u"), F.col("b.family").alias("v")).distinct()
+    met = one.join(two, F.expr("a.token = b.token AND a.node < b.node") & may_link("a", "b", percent))
+    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
+def large_pairs(entries: DataFrame, percent: int, total: int, scratch: Scratch) -> DataFrame:
+    """Pairs of families that meet in a longer list and hold sets that may link.
 
-    large = entries.where(F.col("rows") > SMALL)
+    ``entries``, ``total`` at most: ``token, family, size`` (class), ``lo``, ``hi`` (set sizes), ``left``.
+    """
+    mixed = entries.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"))
+    mixed = scratch.save(mixed.where("low < high").select("token"), "mixed", total)
     # The position within the prefix, in tenths of it.
     place = F.floor(F.col("hi") - F.col("left")) * 1000 / (F.col("hi") * (100 - percent) + 1)
-    large = large.withColumn("place", F.floor(place).cast("int"))
-    counts = large.groupBy("token", "size", "place").agg(F.count(F.lit(1)).alias("members"))
+    entries = entries.join(mixed, "token").withColumn("place", F.floor(place).cast("int"))
+    entries = scratch.save(entries, "placed", total)
+    counts = entries.groupBy("token", "size", "place").agg(F.count(F.lit(1)).alias("members"))
     counts = scratch.save(counts, "sizes", total)
     salt = F.pmod(F.xxhash64("family"), F.expr(f"members div {SMALL} + 1"))
-    blocks = large.join(counts, ["token", "size", "place"]).groupBy(
+    blocks = entries.join(counts, ["token", "size", "place"]).groupBy(
         "token", "size", "place", salt.alias("salt")
     )
     blocks = blocks.agg(
         F.collect_list(F.struct("family", "lo", "hi", "left")).alias("entries"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("left").alias("left"),
     )
-    blocks = scratch.save(blocks, "blocks", total)
-    return pairs.union(pairs_in_blocks(blocks, percent)).distinct()
+    return pairs_in_blocks(scratch.save(blocks, "blocks", total), percent)
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray], same: bool) -> np.ndarray:
@@ -386,11 +387,17 @@ def jaccard_links(
     first = F.min(F.struct("node", F.col("n").alias("m"), F.col("pos").alias("at")))
     lists = entries.groupBy("token").agg(first.alias("first"), F.count(F.lit(1)).alias("c"))
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    lists = scratch.save(lists.where("c > 1").select("token", F.col("first.node").alias("leader"), "first.m", "first.at"), "tokens", total)
+    lists = lists.where("c > 1").select(
+        "token", F.col("c").alias("rows"), F.col("first.node").alias("leader"), "first.m", "first.at"
+    )
+    lists = scratch.save(lists, "tokens", total)
     entries = scratch.save(entries.join(lists, "token"), "entries", total)
     total, kept = entries.count(), classes.count()
 
-    needed = entries.select("node").distinct()
+    # Sets that may link with any other; the texts of the rest are not read again.
+    close = scratch.save(small_pairs(entries, percent), "close", total)
+    needed = close.select(F.col("u").alias("node")).union(close.select("v"))
+    needed = needed.union(entries.where(F.col("rows") > SMALL).select("node")).distinct()
     nodes = classes.select("node", "k1", "k2", "n", "copies").join(needed, "node")
     nodes = scratch.save(nodes, "nodes", kept)
     k1, k2 = row_key(doc_id, text)
@@ -422,12 +429,21 @@ def jaccard_links(
         # Families with sets that may link, and what their leaders say about them.
         step = math.log(100 / percent) if percent < 100 else 1.0
         size_class = F.floor(F.log(F.col("n")) / step + 1e-9).cast("int")
-        listed = entries.join(placed.select("node", "family"), "node")
+        belongs = placed.select("node", "family")
+        listed = entries.where(F.col("rows") > SMALL).join(belongs, "node")
         listed = listed.groupBy("token", "family", size_class.alias("size")).agg(
             F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - pos")).alias("left")
         )
         scratch.free_shuffles()
-        pairs = scratch.save(candidates(listed, percent, total, scratch), "pairs")
+        pairs = close
+        for c in "uv":
+            to = belongs.select(F.col("node").alias(c), F.col("family").alias(f"family_{c}"))
+            pairs = pairs.join(to, c)
+        pairs = pairs.where("family_u <> family_v").select(
+            F.least("family_u", "family_v").alias("u"), F.greatest("family_u", "family_v").alias("v")
+        )
+        pairs = pairs.union(large_pairs(listed, percent, total, scratch)).distinct()
+        pairs = scratch.save(pairs, "pairs")
         met = pairs.count()
         bases = scratch.save(compared(pairs, sets, 101).drop("removed", "added"), "bases", 4 * met)
         for c in "uv":
@@ -497,7 +513,7 @@ def jaccard_links(
     links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     members = members.join(scratch.save(roots, "roots", kept), "c").select("g1", "g2", "component_id", links)
     members = scratch.save(members, "answers", kept)
-    scratch.drop("sets", "stars", "entries", "members", "based", "families", "mixed", "blocks")
+    scratch.drop("sets", "distinct", "stars", "entries", "members", "based", "families", "placed", "blocks")
     placed = rows.select("id", "n", "g1", "g2").join(members, ["g1", "g2"], "left")
     return placed.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
