@@ -17,8 +17,9 @@ Relations between sets keep hot lists from being expanded into pairs:
   holds one entry per family and size class, with its sizes and the most that can still be shared
   from that position on, and is cut into blocks by size class and position; a pair of blocks is
   skipped if its sizes or positions exclude a link.
-  Leaders of families that remain are compared exactly. By the triangle inequality of Jaccard
-  distance most pairs of families are settled by that; the members of the others are compared.
+  Leaders of families that remain are compared, first by parity vectors, which bound how much two
+  sets differ, then exactly. By the triangle inequality of Jaccard distance most pairs of families
+  are settled by that; the members of the others are compared.
 
 Blocks report each set's number of links and one edge per set to the least of its component there, so
 a group of copies never becomes all of its pairs. No list, block or candidate is capped.
@@ -45,7 +46,7 @@ from textprep.llm.shingles import shingle_hashes, word_hashes
 WORDS = 5
 PERCENT = 80
 #: Sets at least so similar to their leader, in percent, are stored as differences from it.
-FAMILY = 50
+FAMILY = 70
 #: Hash buckets of the token counts; a bucket counts as frequent from ``FREQUENT`` times the mean.
 BUCKETS, FREQUENT = 1 << 20, 4
 #: Lists of up to so many sets give pairs as rows; longer ones are cut into blocks of that size.
@@ -121,16 +122,57 @@ def set_rows(
     )
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit per hash bucket, set if it holds an odd number of tokens; as many bits as tokens or more."""
+    size = 1 << max(6, (len(tokens) - 1).bit_length())
+    bucket = (tokens >> np.uint64(8)).astype(np.int64) & (size - 1)
+    return np.packbits(np.bincount(bucket, minlength=size) & 1).tobytes()
+
+
+def least_apart(one: bytes, two: bytes) -> int:
+    """A lower bound on the tokens that only one of two sets holds: bits in which they differ.
+
+    The longer vector is folded first, which merges buckets and keeps their parity.
+    """
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (one, two)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def full_sets(texts: DataFrame, k: int) -> DataFrame:
-    """``node, tokens`` (sorted 64-bit hashes) from ``node, text``."""
+    """``node, size, tokens`` (sorted 64-bit hashes), ``parity`` from ``node, text``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
-            blobs = [token_set(t, k).tobytes() for t in texts_of(batch.column(1))]
-            arrays = [batch.column(0), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "tokens"])
+            sets = [token_set(t, k) for t in texts_of(batch.column(1))]
+            blobs = [[s.tobytes() for s in sets], [parity(s) for s in sets]]
+            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64())]
+            arrays += [pa.array(b, pa.binary()) for b in blobs]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "tokens", "parity"])
+
+    return texts.mapInArrow(rows, "node long, size long, tokens binary, parity binary")
 
-    return texts.mapInArrow(rows, "node long, tokens binary")
+
+def with_bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (``u, v`` and more numbers) with ``bound``: no less than their Jaccard similarity."""
+    names = [c for c in pairs.columns if c not in ("u", "v")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1000):
+            sides = [batch.column(c).to_pylist() for c in ("nu", "nv", "one", "two")]
+            bounds = []
+            for nu, nv, one, two in zip(*sides):
+                apart = least_apart(one, two)
+                bounds.append((nu + nv - apart) / (nu + nv + apart))
+            kept = [batch.column(c) for c in ("u", "v", *names)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(bounds, pa.float64())], ["u", "v", *names, "bound"])
+
+    for side, blob in (("u", "one"), ("v", "two")):
+        of = sets.select(F.col("node").alias(side), F.col("parity").alias(blob), F.col("size").alias(f"n{side}"))
+        pairs = pairs.join(of, side)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("u", "v", *names).schema)
+    return pairs.select("u", "v", *names, "nu", "nv", "one", "two").mapInArrow(rows, f"{kinds}, bound double")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, family: int) -> DataFrame:
@@ -418,6 +460,7 @@ def jaccard_links(
         ahead = ahead.where(may_link("a", "b", percent)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
         stars = ahead.groupBy("v").agg(F.max(F.struct("c", (-F.col("u")).alias("u"))).alias("best"))
         stars = scratch.save(stars.select((-F.col("best.u")).alias("u"), "v"), "leaders", kept)
+        stars = with_bound(stars, sets).where(F.col("bound") >= FAMILY / 100)
         stars = scratch.save(compared(stars, sets, FAMILY), "stars", 4 * kept)
         placed = families(stars, nodes.select("node", "n", "copies"), kept, scratch)
         placed = scratch.save(placed, "families", 4 * kept)
@@ -443,20 +486,24 @@ def jaccard_links(
             F.least("family_u", "family_v").alias("u"), F.greatest("family_u", "family_v").alias("v")
         )
         pairs = pairs.union(large_pairs(listed, percent, total, scratch)).distinct()
-        pairs = scratch.save(pairs, "pairs")
-        met = pairs.count()
-        bases = scratch.save(compared(pairs, sets, 101).drop("removed", "added"), "bases", 4 * met)
         for c in "uv":
             of = sizes.select(
                 F.col("family").alias(c), F.col("members").alias(f"members_{c}"), F.col("far").alias(f"far_{c}")
             )
-            bases = bases.join(of, c)
+            pairs = pairs.join(of, c)
+        # Leaders farther apart than this have no members that link.
+        reach = F.lit(1 - percent / 100 + 1e-9) + F.col("far_u") + F.col("far_v")
+        both = F.expr("members_u = 1 AND members_v = 1")
+        pairs = scratch.save(pairs.select("u", "v", reach.alias("reach"), both.alias("both")), "pairs")
+        pairs = with_bound(pairs, sets).where("1 - bound <= reach")
+        pairs = scratch.save(pairs.select("u", "v", "reach", "both"), "plausible")
+        met = pairs.count()
+        bases = compared(pairs, sets, 101).drop("removed", "added").join(pairs, ["u", "v"])
+        bases = scratch.save(bases, "bases", 4 * met)
         union = F.col("nu") + F.col("nv") - F.col("common")
         distance = 1 - F.col("common") / union
-        both = F.expr("members_u = 1 AND members_v = 1")
-        alone = bases.where(both & (100 * F.col("common") >= percent * union)).select("u", "v")
-        reach = 1 - percent / 100 + F.col("far_u") + F.col("far_v") + 1e-9
-        wide = bases.where(~both & (distance <= reach)).select("u", "v")
+        alone = bases.where(F.col("both") & (100 * F.col("common") >= percent * union)).select("u", "v")
+        wide = bases.where(~F.col("both") & (distance <= F.col("reach"))).select("u", "v")
         wide = scratch.save(wide, "wide", met)
         scratch.free_shuffles()
 
