@@ -196,7 +196,7 @@ def test_encode_splits(spark, labelled):
     out = jobs.encode_splits(labelled.withColumn("label_str", F.lit("s")), "doc_id", max_length=6)
     rows = out.collect()
     assert set(out.columns) == {"doc_id", "label_str", "labels", "split", "input_ids", "attention_mask"}
-    assert len(rows) == 90 and sum(r.split == "validation" for r in rows) == 9
+    assert len(rows) == 92 and sum(r.split == "validation" for r in rows) == 10
     assert all(len(r.input_ids) == 6 == len(r.attention_mask) for r in rows)
     assert np.mean([r.input_ids[0] for r in rows]) == 0
 

@@ -188,3 +188,23 @@ def test_clean_dataframe(spark):
 def test_keep_labels_drops_null(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (None,)], "label int")
     assert sorted(r.label for r in combine.keep_labels(df).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_a_split_keeps_rows_where_they_are(spark, monkeypatch, limit):
+    """No exchange moves texts; with too many classes for a broadcast the split is the same."""
+    rows = [(i, None if i % 10 == 9 else i % 3, f"text {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, text string").repartition(12).cache()
+    want = sampling.stratified_split(df, ["id"], 0.25)
+    monkeypatch.setattr(sampling, "MAX_BROADCAST_CLASSES", limit)
+    out = sampling.stratified_split(df, ["id"], 0.25)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    counts = Counter((r.label, r.split) for r in out.collect())
+    quota = {0: 45, 1: 45, 2: 45, None: 15}
+    assert {c: n for (c, split), n in counts.items() if split == "validation"} == quota
+    if limit > 1:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(_class" in plan or "BroadcastExchange" in plan
+        assert not any("Exchange hash" in line and "text" in line for line in plan.splitlines())
+        assert out.rdd.getNumPartitions() == 12
+    df.unpersist()

@@ -70,8 +70,8 @@ def optional_source(spark, sf_dir):
     corpus, path = inputs.corpus(spark, sf_dir).select(*columns), files.scratch_path(spark, "present")
     files.write_csv(corpus, path)
     schema = "doc_id long, text string, label int"
-    present = files.load_optional(spark, path, schema)
-    absent = files.load_optional(spark, files.scratch_path(spark, "absent"), schema)
+    present = files.load_optional(spark, path, schema=schema)
+    absent = files.load_optional(spark, files.scratch_path(spark, "absent"), schema=schema)
     tables = [corpus if t is None else t for t in (present, absent)]
     return tables[0].union(require_columns(tables[1], ["text", "label"]))
 

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from textprep.operators.sampling import MAX_BROADCAST_CLASSES
+from textprep.sources.files import materialize
+
 
 def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
     """Rows per value, most frequent first, ties by value."""
@@ -38,10 +41,13 @@ def with_class_weight(
 ) -> DataFrame:
     """Attach ``weight``; rows whose label is no class are kept with a null weight.
 
-    The joined table has one row per class, and is broadcast if ``classes`` says how many.
+    The joined table has one row per class. It is counted, and broadcast up to
+    ``MAX_BROADCAST_CLASSES`` of them; beyond, it is stored, so that Spark can split a hot label.
     """
     weights = class_weights(df, label, classes).select(label, "weight")
-    return df.join(weights if classes is None else F.broadcast(weights), label, "left")
+    if classes is not None or weights.count() <= MAX_BROADCAST_CLASSES:
+        return df.join(F.broadcast(weights), label, "left")
+    return df.join(materialize(weights, "weights"), label, "left")
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -30,6 +30,9 @@ ROWS_PER_BUCKET = 50_000
 
 DRAWS_PER_KEY = 100_000
 
+#: Tables of one row per class are broadcast up to so many classes.
+MAX_BROADCAST_CLASSES = 1000
+
 
 def order_key(ids: Sequence[str], seed: int = SEED) -> Column:
     """Pseudo-random order key of a row: ``md5(id|..|seed)`` as hex."""
@@ -49,12 +52,16 @@ def bucket_digits(n_rows: int) -> int:
     return digits
 
 
-def largest_class(df: DataFrame, class_col: str | None) -> int:
-    """Rows of the most frequent value, or all rows; only that column is read."""
-    if class_col is None:
-        return df.count()
+def class_extent(df: DataFrame, class_col: str) -> tuple[int, int]:
+    """Number of classes and rows of the largest one; only that column is read."""
     sizes = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    row = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+    return row[0], row[1] or 0
+
+
+def largest_class(df: DataFrame, class_col: str | None) -> int:
+    """Rows of the most frequent value, or all rows."""
+    return df.count() if class_col is None else class_extent(df, class_col)[1]
 
 
 def distributed_rank(
@@ -153,12 +160,15 @@ def first_per_class(
     Rows of other ``classes`` are dropped; with ``None`` every label counts, null as a class of its
     own. ``quota`` maps the bucket sizes to the same table with a ``_quota`` column. Only ids and
     class are read to find the last chosen key of each class. The tables joined to the rows hold
-    one row per class, and are broadcast if ``classes`` says how many those are.
+    one row per class; they are counted, and broadcast up to ``MAX_BROADCAST_CLASSES`` of them, so
+    the rows stay in their partitions. With more classes the chosen ids are joined to the rows.
     """
     if classes is not None:
         df = df.where(F.col(class_col).isin(*classes))
-    small = F.broadcast if classes is not None else lambda table: table
-    digits = digits or bucket_digits(largest_class(df, class_col))
+    n_classes, n_largest = class_extent(df, class_col)
+    few = n_classes <= MAX_BROADCAST_CLASSES
+    small = F.broadcast if few else lambda table: table
+    digits = digits or bucket_digits(n_largest)
     value = F.col(class_col).cast("string")
     tag = F.when(value.isNull(), "null").otherwise(F.concat(F.lit("="), value))
     keyed = _keyed(df, ids, seed, digits).withColumn("_class", tag)
@@ -179,12 +189,14 @@ def first_per_class(
         .where(F.col("_place") == F.col("_need"))
         .select("_class", F.struct("_key", *ids).alias("_last"))
     )
-    chosen = F.coalesce(F.struct("_key", *ids) <= F.col("_last"), F.lit(False))
-    return (
-        keyed.join(small(last_row), "_class", "left")
-        .withColumn(mark, chosen)
-        .drop("_key", "_bucket", "_class", "_last")
-    )
+    chosen = F.struct("_key", *ids) <= F.col("_last")
+    if few:
+        marked = keyed.join(small(last_row), "_class", "left")
+        marked = marked.withColumn(mark, F.coalesce(chosen, F.lit(False)))
+        return marked.drop("_key", "_bucket", "_class", "_last")
+    picked = narrow.join(last_row, "_class").where(chosen).select(*ids, F.lit(True).alias(mark))
+    marked = df.join(picked, list(ids), "left")
+    return marked.withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
 def undersample(

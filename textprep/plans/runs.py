@@ -1,12 +1,12 @@
 """The jobs of :mod:`textprep.plans.jobs` from files to files.
 
-Rows of CSV files have no id, so they get their place: file, start of the split within it, and a
-``row_id`` that rises inside a split. The place decides which of equal rows comes first; it stays
-internal, except that the row sampling is a function of ``row_id``: cut the files differently and
-other, equally valid, rows are drawn. Tables with an id of their own should use the jobs directly.
+Rows of CSV files have no id. Where rows are sampled or split, they are named by what they hold
+(:mod:`textprep.operators.identity`), so the outcome does not depend on how the files are cut. Where
+the first of equal rows is kept, their place decides: file, split within it, line.
 
-``multi_line`` is passed to the readers: turn it off for files without quoted line breaks, which
-several tasks can then read. What a run stores on its way is deleted when it ends.
+Files are read by many tasks. ``multi_line`` is passed to the readers: turned off, it saves the second
+scan for files without quoted line breaks. What a run stores on its way is deleted when it ends.
+Runs that write tables return their paths by name; ``counts`` has the rows per label of each.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from textprep.functions.lexicons import (
     TAMIL_NEGATIONS,
 )
 from textprep.operators.combine import keep_labels
+from textprep.operators.identity import ROW_ID, identified
+from textprep.operators.metrics import class_counts
 from textprep.operators.model import load_model, save_model
 from textprep.operators.sampling import SEED, balance, shuffle_rows
 from textprep.plans.jobs import (
@@ -40,6 +42,7 @@ from textprep.schema import label_codes
 from textprep.sources.files import (
     load_checked,
     load_optional,
+    PLACE,
     materialize,
     read_csv,
     read_lines,
@@ -48,24 +51,18 @@ from textprep.sources.files import (
     write_splits,
 )
 
-ROW_ID = "row_id"
+class Written(dict):
+    """Name -> path of the tables that a run has written; ``counts``: name -> label -> rows."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.counts: dict[str, dict] = {}
 
-PLACE = ("row_file", "row_block", ROW_ID)
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
-
-
-def placed(df: DataFrame) -> DataFrame:
-    """``df``, straight from a reader, with the columns ``PLACE`` that put rows in file order."""
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias(PLACE[0]),
-        F.col("_metadata.file_block_start").alias(PLACE[1]),
-        F.monotonically_increasing_id().alias(ROW_ID),
-    )
+    def add(self, df: DataFrame, name: str, path: str) -> None:
+        """Write ``df`` and count its labels; of what is stored, only those are read for it."""
+        self.counts[name] = {r["label"]: r["n_rows"] for r in class_counts(df).collect()}
+        write_csv(df, path)
+        self[name] = path
 
 
 def scoped(run):
@@ -89,29 +86,31 @@ def parse_files(
     relabel_train: bool = False,
     seed: int = SEED,
     multi_line: bool = False,
-) -> dict[str, str]:
+) -> Written:
     """Parse the raw file of each split; correct and balance the one named ``train``.
 
     Writes ``<split>_parsed`` (``train_corrected`` after relabelling) and, for each strategy,
-    ``train_balanced_<strategy>`` in shuffled order. Returns name -> path of what was written.
+    ``train_balanced_<strategy>`` in shuffled order.
     """
-    written = {}
-
-    def write(df, name):
-        written[name] = f"{out_dir}/{name}"
-        write_csv(df.select("text", "label_str", "label"), written[name])
-
+    written = Written()
+    columns = ["text", "label_str", "label"]
     for split, path in paths.items():
-        parsed = parse_lines(numbered(read_lines(spark, path, multi_line)), label_codes(language))
+        parsed = parse_lines(read_lines(spark, path, multi_line), label_codes(language))
+        parsed = parsed.select(*columns)
         training = split == "train"
         if training and relabel_train:
             parsed = relabel(parsed, relabel_mask(TAMIL_HOPE_WORD, TAMIL_NEGATIONS))
         parsed = materialize(parsed, f"parsed-{split}")
-        write(parsed, f"{split}_corrected" if training and relabel_train else f"{split}_parsed")
-        for strategy in strategies if training else ():
-            balanced = balance(keep_labels(parsed), [ROW_ID], strategy, seed=seed)
+        name = f"{split}_corrected" if training and relabel_train else f"{split}_parsed"
+        written.add(parsed, name, f"{out_dir}/{name}")
+        if not (training and strategies):
+            continue
+        rows = identified(keep_labels(parsed))
+        for strategy in strategies:
+            balanced = balance(rows, [ROW_ID], strategy, seed=seed)
             ids = [c for c in (ROW_ID, "draw") if c in balanced.columns]
-            write(shuffle_rows(balanced, ids, seed), f"train_balanced_{strategy}")
+            name = f"train_balanced_{strategy}"
+            written.add(shuffle_rows(balanced, ids, seed).select(*columns), name, f"{out_dir}/{name}")
     return written
 
 
@@ -124,15 +123,15 @@ def prepare_files(
     lang: str,
     script: str | None = None,
     multi_line: bool = True,
-) -> dict[str, str]:
+) -> Written:
     """Clean each split; the synthetic rows join the split named ``train``, real rows first."""
-    written = {}
+    written = Written()
     for split, path in paths.items():
-        sources = [placed(load_checked(spark, path, multi_line=multi_line))]
+        sources = [load_checked(spark, path, multi_line=multi_line, place=True)]
         if split == "train":
-            sources.append(placed(load_checked(spark, synthetic, multi_line=multi_line)))
-        written[split] = f"{out_dir}/{split}"
-        write_csv(prepare(sources, PLACE, lang, script).drop(*PLACE), written[split])
+            sources.append(load_checked(spark, synthetic, multi_line=multi_line, place=True))
+        prepared = prepare(sources, PLACE, lang, script).drop(*PLACE)
+        written.add(materialize(prepared, split), split, f"{out_dir}/{split}")
     return written
 
 
@@ -162,8 +161,7 @@ def train_files(
     they hold a few rows.
     """
     columns = ["text"] if marked else ["text", "label"]
-    rows = numbered(load_checked(spark, train, columns, multi_line=multi_line))
-    rows = materialize(rows, "train")
+    rows = identified(load_checked(spark, train, columns, multi_line=multi_line).select(*columns))
     dev_df, test_df = (
         load_optional(spark, p, multi_line=multi_line) if p else None for p in (dev, test)
     )
@@ -202,7 +200,7 @@ def encode_file(
     multi_line: bool = True,
 ) -> DataFrame:
     """Encode a CSV file into train and validation splits; returns the written dataset."""
-    rows = materialize(numbered(load_checked(spark, path, multi_line=multi_line)), "rows")
+    rows = identified(load_checked(spark, path, multi_line=multi_line))
     encoded = encode_splits(rows, ROW_ID, fraction, vocabulary_size, max_length).drop(ROW_ID)
     stored = [c for c in ("labels", "toxic_positivity") if c in encoded.columns]
     write_splits(encoded.withColumns({c: F.col(c).cast("bigint") for c in stored}), out_dir)

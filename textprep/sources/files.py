@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textprep.schema import RAW_SCHEMA, require_columns
+from textprep.sources.csv_records import PLACE, read_records
+from textprep.sources.scratch import delete, materialize, scratch_path, scratch_scope
+
+__all__ = ["PLACE", "delete", "materialize", "scratch_path", "scratch_scope"]
 
 
 #: Columns of numbers in files without a schema.
@@ -27,18 +28,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df``, straight from one of Spark's readers, with the columns that put rows in file order."""
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias(PLACE[0]),
+        F.col("_metadata.file_block_start").alias(PLACE[1]),
+        F.monotonically_increasing_id().alias(PLACE[2]),
+    )
+
+
 def read_lines(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """One-column table ``raw`` from CSV files without separators.
 
     Quoted lines are unquoted, blank lines skipped and commas kept: the separator is a control
-    character. ``multi_line`` allows line breaks inside quotes but makes files unsplittable.
+    character. ``multi_line`` allows line breaks inside quotes; files are read by many tasks anyway.
     """
+    if multi_line:
+        return read_records(spark, path, RAW_SCHEMA, "\u0001", header=False)
     return (
         spark.read.schema(RAW_SCHEMA)
         .option("sep", "\u0001")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -55,24 +67,30 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
+    place: bool = False,
+    split_bytes: int | None = None,
 ) -> DataFrame:
-    """Table from CSV files with a header.
+    """Table from CSV files with a header, each read by many tasks.
 
     Without ``schema`` all columns are strings, except that the label columns are numbers: values
     that are none, such as a stray word, become null. Texts that look like numbers stay texts.
-    ``multi_line`` reads quoted line breaks, but one task then reads a whole file; turn it off for
-    files known to have none.
+    ``multi_line`` allows line breaks inside quotes, which takes a second scan (see
+    :mod:`textprep.sources.csv_records`); ``split_bytes`` sets the size of its splits. ``place``
+    adds the columns ``PLACE``.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.csv(path)
-    return df.withColumns({c: whole_number(c) for c in df.columns if c in LABEL_COLUMNS})
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    given = schema is not None
+    if not given:
+        schema = reader.option("multiLine", multi_line).csv(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if multi_line:
+        df = read_records(spark, path, schema, place=place, split_bytes=split_bytes)
+    else:
+        df = reader.schema(schema).csv(path)
+        df = placed(df) if place else df
+    numbers = [] if given else [c for c in schema.names if c in LABEL_COLUMNS]
+    return df.withColumns({c: whole_number(c) for c in numbers})
 
 
 def whole_number(column: str) -> Column:
@@ -82,25 +100,16 @@ def whole_number(column: str) -> Column:
 
 
 def load_checked(
-    spark: SparkSession,
-    path: str,
-    columns: Sequence[str] = ("text", "label"),
-    schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    spark: SparkSession, path: str, columns: Sequence[str] = ("text", "label"), **options
 ) -> DataFrame:
-    """Read a CSV table that must exist and must have ``columns``."""
-    return require_columns(read_csv(spark, path, schema, multi_line), columns)
+    """Read a CSV table that must exist and must have ``columns``; options as in :func:`read_csv`."""
+    return require_columns(read_csv(spark, path, **options), columns)
 
 
-def load_optional(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType | str | None = None,
-    multi_line: bool = True,
-) -> DataFrame | None:
+def load_optional(spark: SparkSession, path: str, **options) -> DataFrame | None:
     """Read a CSV table, or return ``None`` if there is nothing at ``path``."""
     try:
-        return read_csv(spark, path, schema, multi_line)
+        return read_csv(spark, path, **options)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -136,54 +145,3 @@ def read_split(
 
 
 MODEL_COLUMNS = ("input_ids", "attention_mask", "labels")
-
-
-_scopes: list[list[str]] = []
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None:  # else the session has ended
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@contextmanager
-def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what :func:`scratch_path` gave out inside."""
-    paths: list[str] = []
-    _scopes.append(paths)
-    try:
-        yield
-    finally:
-        _scopes.remove(paths)
-        for path in paths:
-            delete(spark, path)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Where it is unset, the folder lies below the warehouse, which is shared too. What is written
-    there is deleted when the scope around the call ends, or else when the program does.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    )
-    path = f"{base.rstrip('/')}/textprep-{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    else:
-        atexit.register(delete, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
-
-    For tables that several passes read: their lineage is not run again, and it survives the loss
-    of executors.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
