@@ -8,7 +8,8 @@ token of both prefixes. The lists of prefix tokens are the index.
 
 Relations between sets keep hot lists from being expanded into pairs:
 
-* The least set of a list is its leader. Every set is compared with the leader it meets most often;
+* The leader of a list is the set there that stands in most lists: of a group of copies, one that
+  was hardly edited. Every set is compared with the leader it meets most often;
   sets at least ``FAMILY`` percent similar to a leader form its family and are stored as differences
   from it: the tokens removed and the tokens added.
 * Answers within a family are derived from the leader's: sets S and R share ``|B| - |Ds| - |Dr| +
@@ -46,7 +47,7 @@ from textprep.llm.shingles import shingle_hashes, word_hashes
 WORDS = 5
 PERCENT = 80
 #: Sets at least so similar to their leader, in percent, are stored as differences from it.
-FAMILY = 70
+FAMILY = 50
 #: Hash buckets of the token counts; a bucket counts as frequent from ``FREQUENT`` times the mean.
 BUCKETS, FREQUENT = 1 << 20, 4
 #: Lists of up to so many sets give pairs as rows; longer ones are cut into blocks of that size.
@@ -426,12 +427,8 @@ def jaccard_links(
     classes = classes.select("node", "g1", "g2", "least", "row.*", "n", "copies", "prefix")
     classes = scratch.save(classes, "classes", 4 * rows.count())
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    first = F.min(F.struct("node", F.col("n").alias("m"), F.col("pos").alias("at")))
-    lists = entries.groupBy("token").agg(first.alias("first"), F.count(F.lit(1)).alias("c"))
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    lists = lists.where("c > 1").select(
-        "token", F.col("c").alias("rows"), F.col("first.node").alias("leader"), "first.m", "first.at"
-    )
     lists = scratch.save(lists, "tokens", total)
     entries = scratch.save(entries.join(lists, "token"), "entries", total)
     total, kept = entries.count(), classes.count()
@@ -452,10 +449,17 @@ def jaccard_links(
         scratch.free_shuffles()
 
         # Families around leaders: of those that may link with a node, the one it meets most often.
-        ahead = entries.where("node <> leader").select(
-            F.col("leader").alias("u"), F.col("node").alias("v"),
+        degrees = entries.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        met = entries.join(scratch.save(degrees, "degrees", kept), "node")
+        met = scratch.save(met.withColumn("turn", -F.col("node")), "met", total)
+        first = F.max(F.struct("degree", "turn", F.col("n").alias("m"), F.col("pos").alias("at")))
+        leaders = scratch.save(met.groupBy("token").agg(first.alias("first")), "firsts", total)
+        ahead = met.join(leaders, "token").where("turn <> first.turn").select(
+            (-F.col("first.turn")).alias("u"), F.col("node").alias("v"),
             F.struct(F.col("n").alias("lo"), F.col("n").alias("hi"), F.expr("n - pos").alias("left")).alias("b"),
-            F.struct(F.col("m").alias("lo"), F.col("m").alias("hi"), F.expr("m - at").alias("left")).alias("a"),
+            F.struct(
+                F.col("first.m").alias("lo"), F.col("first.m").alias("hi"), F.expr("first.m - first.at").alias("left")
+            ).alias("a"),
         )
         ahead = ahead.where(may_link("a", "b", percent)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
         stars = ahead.groupBy("v").agg(F.max(F.struct("c", (-F.col("u")).alias("u"))).alias("best"))
