@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from textprep.catalog import inputs
 from textprep.catalog.inputs import with_views
 from textprep.catalog.registry import query
-from textprep.catalog.table_queries import sql_split
+from textprep.catalog.table_queries import _SAMPLING, sql_split
 from textprep.catalog.text_queries import sql_strip
 from textprep.functions import lexicons
-from textprep.operators import encode as enc, features as ft, model as md
+from textprep.operators import encode as enc, features as ft, linear as ln, model as md
 from textprep.plans import jobs
 from textprep.sources import files
 
@@ -187,6 +187,44 @@ def model_roundtrip(spark, sf_dir):
     return final.drop("text")
 
 
+@query(
+    with_views("corpus", "labelled").rstrip() + ", " + sql_grams("labelled", "doc_id") + ", "
+    + sql_vocabulary("labelled")
+    + " SELECT term, 0.0::DOUBLE AS gradient FROM vocab UNION ALL SELECT '(intercept)', 0.0::DOUBLE"
+)
+def fit_certificate(spark, sf_dir):
+    """The gradient of the penalised loss at the fitted coefficients: 0 for every term."""
+    train = inputs.labelled(spark, sf_dir).select("text", "label")
+    certificate = ln.certify(md.fit_baseline(train), train)
+    return certificate.gradient.select("term", F.abs(F.round("gradient", 3)).alias("gradient"))
+
+
+@query("SELECT doc_id, true AS same_label, 0.0::DOUBLE AS gap FROM documents")
+def score_by_join(spark, sf_dir):
+    """Every document by SQL over the coefficient table, against the model itself."""
+    train = inputs.labelled(spark, sf_dir).select("text", "label")
+    model = md.fit_baseline(train)
+    docs = inputs.documents(spark, sf_dir).select("doc_id", "text")
+    joined = ln.score_by_join(docs, model, "doc_id")
+    own = ln.margins(model, docs).select("doc_id", F.col("margin").alias("own"))
+    same = F.col("prediction") == (F.col("own") > 0).cast("int")
+    gap = F.round(F.abs(F.col("margin") - F.col("own")), 6)
+    return joined.join(own, "doc_id").select("doc_id", same.alias("same_label"), gap.alias("gap"))
+
+
+@query(
+    sql_split(0.2, _SAMPLING)
+    + ", held AS (SELECT label FROM split_rows WHERE split = 'validation') "
+    "SELECT CAST(label AS VARCHAR) AS name, count(*) AS support FROM held GROUP BY label UNION ALL "
+    "SELECT n.name, count(*) FROM held, (SELECT unnest(['accuracy', 'macro avg', 'weighted avg']) AS name) n "
+    "GROUP BY n.name"
+)
+def report_supports(spark, sf_dir):
+    """Names and supports of the report on the held-out rows."""
+    corpus = inputs.corpus(spark, sf_dir).select("doc_id", "text", "label")
+    return jobs.train_baseline(corpus, ["doc_id"]).reports["dev"].select("name", "support")
+
+
 # --- encoding ----------------------------------------------------------------------------------
 
 PIECES = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{1,}')"

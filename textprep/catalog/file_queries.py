@@ -13,7 +13,8 @@ from textprep.operators import combine, sampling
 from textprep.operators.identity import ROW_ID, identified
 from textprep.plans import jobs, runs
 from textprep.schema import label_codes
-from textprep.sources import files
+from textprep.sources import dataset, files
+from textprep.streaming import prepare as streaming
 
 #: Small enough that the files of every scale are cut inside records.
 SPLIT_BYTES = 1 << 18
@@ -124,3 +125,31 @@ def prepare_files(spark, sf_dir):
     runs.prepare_files(spark, {"train": paths[0]}, paths[1], paths[2], "xx", (0xC0, 0x24F))
     out = files.read_csv(spark, f"{paths[2]}/train")
     return out.select("text", "label", "lang", "variant")
+
+
+@query(
+    with_views("corpus")
+    + "SELECT doc_id, text, label, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM corpus"
+)
+def dataset_versions(spark, sf_dir):
+    """The second version of a committed dataset, checked against its manifest; a third is not published."""
+    path = files.scratch_path(spark, "dataset")
+    split = F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split")
+    rows = inputs.corpus(spark, sf_dir).select("doc_id", "text", "label", split)
+    dataset.write_dataset(rows.where("split = 'train'"), path)
+    dataset.write_dataset(rows, path)
+    dataset.stage(rows.where("split = 'test'"), path)
+    return dataset.read_dataset(spark, path, verify=True)
+
+
+@query(
+    with_views(*PARSED)
+    + ", norm AS (SELECT " + sql_normalize("text") + " AS text, label_str, label FROM parsed "
+    "WHERE label IN (0, 1)) SELECT DISTINCT text, label_str, label FROM norm WHERE length(text) > 0"
+)
+def stream_prepare(spark, sf_dir):
+    """Lines that come in several files and batches, each text and label written once."""
+    paths = [files.scratch_path(spark, f"stream-{name}") for name in ("lines", "out", "checkpoint")]
+    inputs.lines(spark, sf_dir).select("raw").repartition(6).write.text(paths[0])
+    streaming.run(spark, *paths, label_codes("english"), files_per_batch=2)
+    return spark.read.parquet(paths[1])

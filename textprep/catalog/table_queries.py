@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from textprep.catalog import inputs
 from textprep.catalog.inputs import with_views
 from textprep.catalog.registry import query
-from textprep.catalog.text_queries import sql_any, sql_clean, sql_normalize, sql_variant
+from textprep.catalog.text_queries import sql_any, sql_clean, sql_normalize, sql_strip, sql_variant
 from textprep.functions import labels, lexicons
 from textprep.functions.text import normalize_text
-from textprep.operators import combine, metrics, sampling
+from textprep.operators import combine, leakage, metrics, sampling
 from textprep.plans import jobs
 from textprep.schema import label_codes, require_columns
 from textprep.sources import files
@@ -125,6 +125,17 @@ def derive_and_filter(spark, sf_dir):
     return df.select("doc_id", "text", "label_str", "label")
 
 
+@query(
+    with_views("corpus", "marked")
+    + "SELECT doc_id, "
+    + sql_strip("replace(replace(replace(text, 'notmalayalam', ''), 'Non_hope_speech', ''), 'Hope_speech', '')")
+    + " AS text FROM marked"
+)
+def strip_label_suffix(spark, sf_dir):
+    df = inputs.marked(spark, sf_dir)
+    return df.select("doc_id", labels.strip_label_suffix("text").alias("text"))
+
+
 _TAMIL_MASK = (
     f"(label_str = 'Hope_speech' AND contains(text, '{lexicons.TAMIL_HOPE_WORD}') AND "
     + sql_any("text", lexicons.TAMIL_NEGATIONS)
@@ -320,6 +331,62 @@ def classification_report(spark, sf_dir):
     return metrics.classification_report(_predicted(spark, sf_dir))
 
 
+_GROUPED = (
+    "predicted AS (SELECT d.lang, CASE WHEN l.doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split, "
+    "l.quality AS label, 1 - l.toxic AS prediction FROM labels l JOIN documents d USING (doc_id))"
+)
+_SETS = "GROUPING SETS ((lang, split, {0}), (lang, {0}), (split, {0}), ({0}))"
+
+
+def _grouped(spark, sf_dir):
+    scored = inputs.table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").alias("label"), (1 - F.col("toxic")).alias("prediction")
+    )
+    split = F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train").alias("split")
+    langs = inputs.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return scored.join(langs, "doc_id").select("lang", split, "label", "prediction")
+
+
+DIMS, SETS = ["lang", "split"], [("lang", "split"), ("lang",), ("split",), ()]
+
+
+@query(
+    f"WITH {_GROUPED} SELECT lang, split, CAST(grouping_id(lang, split) AS BIGINT) AS grouping, label, "
+    f"count(*) AS n_rows FROM predicted GROUP BY {_SETS.format('label')}"
+)
+def counts_by_group(spark, sf_dir):
+    """Rows per label by language and split, by each of them, and in total, from one reading."""
+    return metrics.value_counts_by(_grouped(spark, sf_dir), "label", DIMS, SETS)
+
+
+@query(
+    f"""WITH {_GROUPED},
+    conf AS (SELECT lang, split, grouping_id(lang, split) AS grouping, label, prediction, count(*) AS n
+             FROM predicted GROUP BY {_SETS.format('label, prediction')}),
+    parts AS (SELECT lang, split, grouping, label AS cls, n AS support, 0 AS predicted,
+                     CASE WHEN label = prediction THEN n ELSE 0 END AS hits FROM conf
+              UNION ALL SELECT lang, split, grouping, prediction, 0, n, 0 FROM conf),
+    c AS (SELECT lang, split, grouping, cls, sum(support) AS support, sum(predicted) AS predicted,
+                 sum(hits) AS hits FROM parts GROUP BY lang, split, grouping, cls),
+    pr AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(hits AS DOUBLE) / predicted ELSE 0 END AS p,
+                  CASE WHEN support > 0 THEN CAST(hits AS DOUBLE) / support ELSE 0 END AS r FROM c),
+    f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr),
+    report AS (
+      SELECT lang, split, grouping, CAST(cls AS VARCHAR) AS name, p, r, f1, support FROM f
+      UNION ALL SELECT lang, split, grouping, 'accuracy', NULL, NULL,
+             CAST(sum(hits) AS DOUBLE) / sum(support), sum(support) FROM f GROUP BY lang, split, grouping
+      UNION ALL SELECT lang, split, grouping, 'macro avg', avg(p), avg(r), avg(f1), sum(support)
+             FROM f GROUP BY lang, split, grouping
+      UNION ALL SELECT lang, split, grouping, 'weighted avg', sum(p * support) / sum(support),
+             sum(r * support) / sum(support), sum(f1 * support) / sum(support), sum(support)
+             FROM f GROUP BY lang, split, grouping)
+    SELECT lang, split, CAST(grouping AS BIGINT) AS grouping, name, round(p, 3) AS precision,
+           round(r, 3) AS recall, round(f1, 3) AS f1, CAST(support AS BIGINT) AS support FROM report"""
+)
+def report_by_group(spark, sf_dir):
+    return metrics.classification_report(_grouped(spark, sf_dir), dims=DIMS, sets=SETS)
+
+
 @query(
     """SELECT quality AS label, count(*) AS n_rows,
        round(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)), 9) AS weight
@@ -455,6 +522,35 @@ def fallback_split(spark, sf_dir):
     return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_LEAKED = (
+    with_views("messy")
+    + ", rows AS (SELECT d.doc_id, d.text, CASE WHEN d.doc_id % 10 = 0 THEN 'test' WHEN d.doc_id % 10 = 1 "
+    "THEN 'dev' ELSE 'train' END AS split, " + sql_normalize("d.text") + " AS norm FROM documents d), "
+    "leaked AS (SELECT doc_id, split FROM rows WHERE split <> 'train' AND norm <> '' AND norm IN "
+    "(SELECT norm FROM rows WHERE split = 'train')) "
+)
+
+
+def _split_documents(spark, sf_dir):
+    tenth = F.pmod("doc_id", F.lit(10))
+    split = F.when(tenth == 0, "test").when(tenth == 1, "dev").otherwise("train").alias("split")
+    return inputs.documents(spark, sf_dir).select("doc_id", "text", split)
+
+
+@query(
+    _LEAKED + "SELECT split, count(*) AS n_rows, (SELECT count(*) FROM leaked l WHERE l.split = rows.split) "
+    "AS n_leaked FROM rows WHERE split <> 'train' GROUP BY split"
+)
+def leakage_report(spark, sf_dir):
+    """Rows of dev and test whose normalized text also stands in train."""
+    return leakage.leakage_report(_split_documents(spark, sf_dir), ["doc_id"])
+
+
+@query(_LEAKED + "SELECT doc_id, text, split FROM rows WHERE doc_id NOT IN (SELECT doc_id FROM leaked)")
+def without_leakage(spark, sf_dir):
+    return leakage.without_leakage(_split_documents(spark, sf_dir), ["doc_id"])
+
+
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 5")
 def preview(spark, sf_dir):
     df = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textprep.catalog import inputs
 from textprep.catalog.inputs import with_views
 from textprep.catalog.registry import query
-from textprep.functions import lexicons, phrases, scripts, text as tx
+from textprep.functions import lexicons, phrases, scripts, sql, text as tx
 from textprep.operators.metrics import value_counts as count_values
 
 SPACE = (
@@ -231,3 +231,33 @@ def rule_override_malayalam(spark, sf_dir):
 @query(sql_rules("scored", *_ENGLISH) + "SELECT rule, count(*) AS count FROM ruled GROUP BY rule")
 def rule_counts(spark, sf_dir):
     return count_values(phrases.apply_rules(inputs.scored(spark, sf_dir), *_ENGLISH), "rule")
+
+
+# --- the functions in SQL text -----------------------------------------------------------------
+
+
+@query(
+    with_views("messy") + "SELECT doc_id, " + sql_normalize("text") + " AS normalized, "
+    + sql_clean("text", "lang = 'en'") + " AS text FROM messy"
+)
+def sql_text_functions(spark, sf_dir):
+    sql.register(spark)
+    lang = "if(lang = 'en', 'english', lang)"
+    return spark.sql(
+        f"SELECT doc_id, normalize_text(text) AS normalized, clean_text(text, {lang}) AS text FROM {{messy}}",
+        messy=inputs.messy(spark, sf_dir),
+    )
+
+
+@query(
+    with_views("corpus", "lines", "parsed_chunks", "parsed")
+    + "SELECT doc_id, text, label_str, label, CAST(coalesce(contains(lower(label_str), 'hope'), false) "
+    "AS INTEGER) AS hope FROM parsed"
+)
+def sql_label_functions(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql(
+        "SELECT doc_id, line_text(raw) AS text, line_label(raw) AS label_str, "
+        "english_label_code(line_label(raw)) AS label, hope_label(line_label(raw)) AS hope FROM {lines}",
+        lines=inputs.lines(spark, sf_dir),
+    )

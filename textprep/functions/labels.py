@@ -59,6 +59,19 @@ def derive_label(
     return F.coalesce(*[F.when(text.contains(marker), name) for marker, name in markers])
 
 
+def strip_label_suffix(
+    text: Column | str, markers: Sequence[tuple[str, str]] = MALAYALAM_MARKERS
+) -> Column:
+    """The text without the markers that name its class, wherever they stand.
+
+    A model trained on marked texts sees its own label; one trained on these does not.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    for marker, _ in markers:
+        text = F.replace(text, F.lit(marker), F.lit(""))
+    return strip(text)
+
+
 def relabel_mask(
     word: str,
     negations: Sequence[str],

@@ -55,18 +55,54 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
     return df.agg(F.avg(hit).alias("accuracy"))
 
 
-def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n_rows"))
+def value_counts_by(
+    df: DataFrame, column: str, dims: Sequence[str], sets: Sequence[Sequence[str]]
+) -> DataFrame:
+    """Rows per value of ``column`` for several groupings at once: ``dims, grouping, column, n_rows``.
+
+    ``sets`` lists subsets of ``dims``. ``grouping`` has a bit for each of ``dims``, the first one
+    highest, which is 1 where the column is rolled up; so a total differs from a null group. The
+    table is read once.
+    """
+    wanted = [[*dict.fromkeys([*s, column])] for s in sets]
+    grouped = df.groupingSets([[F.col(c) for c in s] for s in wanted], *dims, column)
+    rolled = grouped.agg(F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("n_rows"))
+    # The value itself is in every set; its bit is the last one.
+    return rolled.select(*dims, F.shiftright("_id", 1).alias("grouping"), column, "n_rows")
+
+
+def confusion(
+    df: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    dims: Sequence[str] = (),
+    sets: Sequence[Sequence[str]] = ((),),
+) -> DataFrame:
+    """Rows per label and prediction, for each grouping in ``sets`` of the columns ``dims``."""
+    if not dims:
+        return df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n_rows"))
+    wanted = [[F.col(c) for c in (*s, label, prediction)] for s in sets]
+    grouped = df.groupingSets(wanted, *dims, label, prediction)
+    rolled = grouped.agg(F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("n_rows"))
+    return rolled.withColumn("grouping", F.shiftright("_id", 2)).drop("_id")
 
 
 def classification_report(
-    df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 3
+    df: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    digits: int = 3,
+    dims: Sequence[str] = (),
+    sets: Sequence[Sequence[str]] = ((),),
 ) -> DataFrame:
     """Per-class precision, recall, f1 and support, plus accuracy, macro and weighted averages.
 
     A ratio with an empty denominator is 0. The data is read once, for the confusion counts; the
-    rest works on at most k * k rows.
+    rest works on at most k * k rows. With ``dims`` there is a report for every group of every
+    grouping in ``sets``, such as per language, per split and in total, still from one reading;
+    ``grouping`` tells them apart as in :func:`value_counts_by`.
     """
+    by = [*dims, "grouping"] if dims else []
     n = F.col("n_rows")
     hit = F.when(F.col(label) == F.col(prediction), n).otherwise(0)
     zero = F.lit(0).cast("bigint")
@@ -78,9 +114,9 @@ def classification_report(
 
     parts = F.array(part(F.col(label), n, zero, hit), part(predicted, zero, n, zero))
     per_class = (
-        confusion(df, label, prediction)
-        .select(F.inline(parts))
-        .groupBy("cls")
+        confusion(df, label, prediction, dims, sets)
+        .select(*by, F.inline(parts))
+        .groupBy(*by, "cls")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     )
 
@@ -119,4 +155,4 @@ def classification_report(
         shown = F.sum("hits") / F.sum("support") if metric == "f1" else F.lit(None)
         value = value.when(F.col("name") == "accuracy", shown).otherwise(F.avg(metric))
         summary.append(F.round(value, digits).alias(metric))
-    return rows.groupBy("name").agg(*summary, F.sum("support").alias("support"))
+    return rows.groupBy(*by, "name").agg(*summary, F.sum("support").alias("support"))

@@ -16,6 +16,7 @@ from textprep.functions.labels import (
     relabel,
     relabel_mask,
     split_text_label,
+    strip_label_suffix,
 )
 from textprep.functions.lexicons import TAMIL_HOPE_WORD, TAMIL_NEGATIONS
 from textprep.functions.phrases import apply_rules
@@ -65,13 +66,20 @@ def parse_and_relabel(
     return relabel(parsed, relabel_mask(word, negations))
 
 
-def derive_and_filter(df: DataFrame, markers=MALAYALAM_MARKERS, language="malayalam") -> DataFrame:
+def derive_and_filter(
+    df: DataFrame,
+    markers=MALAYALAM_MARKERS,
+    language: str = "malayalam",
+    strip_label: bool = False,
+) -> DataFrame:
     """Derive the class from markers inside the text and keep the two classes.
 
     The text still holds its marker, as in the data this stands for: a model trained on it sees
-    its own label.
+    its own label. ``strip_label`` takes the markers out.
     """
     df = df.withColumn("label_str", derive_label("text", markers))
+    if strip_label:
+        df = df.withColumn("text", strip_label_suffix("text", markers))
     return keep_labels(df.withColumn("label", map_label("label_str", label_codes(language))))
 
 
@@ -200,15 +208,17 @@ def train_marked_baseline(
     strategy: str = "under",
     seed: int = SEED,
     max_features: int = 5000,
+    strip_label: bool = False,
 ) -> Baseline:
     """Derive the labels from markers, balance the training rows and train.
 
-    Without a dev table a fifth of the balanced rows is held out, as for other tables.
+    Without a dev table a fifth of the balanced rows is held out, as for other tables. Off by default,
+    ``strip_label`` hides the markers from the model.
     """
-    train = materialize(derive_and_filter(train), "derived")
-    balanced = balance(train, ids, strategy, seed=seed)
-    dev = None if dev is None else derive_and_filter(dev)
-    test = None if test is None else derive_and_filter(test)
+    train, dev, test = (
+        None if df is None else derive_and_filter(df, strip_label=strip_label) for df in (train, dev, test)
+    )
+    balanced = balance(materialize(train, "derived"), ids, strategy, seed=seed)
     return train_baseline(balanced, ids, dev, test, seed=seed, max_features=max_features)
 
 

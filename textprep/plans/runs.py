@@ -165,8 +165,11 @@ def train_files(
     dev_df, test_df = (
         load_optional(spark, p, multi_line=multi_line) if p else None for p in (dev, test)
     )
+    options = {"max_features": max_features}
+    if marked:
+        options["strip_label"] = strip_label
     fit = train_marked_baseline if marked else train_baseline
-    baseline = fit(rows, [ROW_ID], dev_df, test_df, max_features=max_features)
+    baseline = fit(rows, [ROW_ID], dev_df, test_df, **options)
     save_model(baseline.model, model_path)
     for name, report in baseline.reports.items():
         baseline.reports[name] = spark.createDataFrame(report.collect(), report.schema)
