@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textprep.llm.common import Scratch
 from textprep.llm.line_dedup import drop_common_lines
-from textprep.llm.minhash_dedup import near_duplicates
+from textprep.llm.minhash_dedup import one_of_each
 from textprep.llm.mixing import mixed_documents
 from textprep.llm.packing import pack_documents
 from textprep.llm.toxicity import score_toxicity
@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_duplicates(docs).where("kept").select(*docs.columns)
+    """One document of each group of near-duplicates stays; blank ones are in no group."""
+    return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,4 +86,19 @@ def test_stages_keep_the_columns_of_documents(spark, make_docs, corpus, tmp_path
 def test_operators_are_registered_once_each():
     names = [q for q in spark_entry.queries() if q.startswith("op")]
     numbers = [int(q[2:].split("_")[0]) for q in names if q[2:].split("_")[0].isdigit()]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in spark_entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in spark_entry.queries()
+
+
+def test_repeated_rows_and_rows_that_share_id_and_text(spark, words):
+    """One row of each group stays; rows that differ in any column are mixed each by itself."""
+    text, other = " ".join(words(30)), " ".join(words(30))
+    rows = [(5, text, "a"), (5, text, "a"), (5, text, "b"), (9, text + " more", "a"), (None, other, "a")]
+    rows += [(None, other, "a"), (7, None, "a"), (7, "", "a"), (7, " ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = [tuple(r) for r in kept.collect()]
+    assert sum(r[:2] == (5, text) for r in got) == 1 and sum(r[0] == 9 for r in got) == 0
+    assert got.count((None, other, "a")) == 1 and sum(r[0] == 7 for r in got) == 3 and len(got) == 5
+    pair = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y")], docs.schema)
+    mixed = [tuple(r) for r in corpus_pipeline.mix_sources(spark, pair, "").collect()]
+    assert {r[2] for r in mixed} == {"x", "y"} and all(r[:2] == (1, "a b c") for r in mixed)

@@ -24,9 +24,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from textprep.llm.common import Scratch, mixed64, packed, quoted, row_key, sliced, texts_of, unpacked
+from textprep.llm.common import (
+    Scratch, mixed64, packed, quoted, row_key, sliced, small_batches, texts_of, unpacked,
+)
 from textprep.llm.components import components
 from textprep.llm.shingles import shingle_hashes, word_hashes
 
@@ -184,30 +186,18 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(rows, "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    k: int = WORDS,
-    percent: int = PERCENT,
-    columns: Sequence[str] | None = None,
-) -> DataFrame:
-    """``docs``, or the named columns of it, with ``n_shingles``, ``component_id`` (least id of the component) and ``kept``.
-
-    ``kept`` marks the rows with the least id of their component. What is exchanged: per row a
-    digest and ``BANDS`` keys; texts once, of which only candidates' sets are kept; and sets for
-    the candidate pairs.
-    """
+def marked_rows(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """``m1, m2`` (the row's key), ``n_shingles``, ``component`` (a number, null without shingles), ``component_id``."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.save(text_sets(docs, doc_id, text, k), "rows")
 
     # One class per distinct set, numbered; its least row stands for it.
-    first = F.min(F.struct("id", "k1", "k2"))
-    classes = rows.where("n > 0").groupBy("g1", "g2").agg(first.alias("row"))
-    classes = scratch.save(classes.select("g1", "g2", "row.*"), "numbered")
-    classes = scratch.save(
-        classes.withColumn("node", F.monotonically_increasing_id()), "classes"
-    )
+    total = rows.count()
+    first = F.min(F.struct("k1", "k2")).alias("row")
+    classes = rows.where("n > 0").groupBy("g1", "g2").agg(F.min("id").alias("id"), first)
+    classes = classes.select("g1", "g2", "id", "row.*")
+    classes = classes.withColumn("node", F.monotonically_increasing_id())
+    classes = scratch.save(classes, "classes", total)
     firsts = classes.select("k1", "k2", "g1", "g2", "node")
     keys = rows.where("n > 0").join(firsts, ["k1", "k2", "g1", "g2"])
     keys = keys.select("node", F.explode("bands").alias("key")).distinct()
@@ -215,26 +205,49 @@ def near_duplicates(
         F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")
     )
     leaders = leaders.where("members > 1")
-    buckets = scratch.save(keys.join(leaders, "key"), "buckets")
+    buckets = scratch.save(keys.join(leaders, "key"), "buckets", BANDS * total)
 
     # Sets of all candidates; the shuffle of texts is the only one.
     needed = firsts.join(buckets.select("node").distinct(), "node").select("node", "k1", "k2")
-    needed = scratch.save(needed, "needed")
+    needed = scratch.save(needed, "needed", total)
     k1, k2 = row_key(doc_id, text)
     texts = docs.select(k1, k2, F.col(quoted(text)).alias("text")).join(needed.hint("merge"), ["k1", "k2"])
-    sets = scratch.save(full_sets(texts.select("node", "text"), k).dropDuplicates(["node"]), "sets")
+    sets = full_sets(texts.select("node", "text"), k).dropDuplicates(["node"])
+    with small_batches(docs.sparkSession):
+        links = links_of(buckets, sets, percent, total, scratch)
+    scratch.drop("blocks", "sets")
+    found = scratch.save(components(links, scratch, "last"), "final", total)
+
+    members = classes.select("g1", "g2", "node", F.col("id").alias("least"))
+    members = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    roots = members.groupBy("c").agg(F.min("least").alias("component_id"))
+    members = members.join(roots, "c").select("g1", "g2", "component_id", F.col("c").alias("component"))
+    members = scratch.save(members, "members", total)
+    marked = rows.select("k1", "k2", "id", "n", "g1", "g2").distinct()
+    return marked.join(members, ["g1", "g2"], "left").select(
+        F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("n").alias("n_shingles"), "component",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def links_of(
+    buckets: DataFrame, sets: DataFrame, percent: int, total: int, scratch: Scratch
+) -> DataFrame:
+    """``u, v``: links that make the components of all confirmed ones."""
+    sets = scratch.save(sets, "sets")
+    known = buckets.count()
 
     pairs = buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    pairs = scratch.save(pairs.distinct(), "pairs")
-    links = scratch.save(confirmed(pairs, sets, percent), "links")
-    found = scratch.save(components(links, scratch, "first"), "found")
+    pairs = scratch.save(pairs.distinct(), "pairs", known)
+    links = scratch.save(confirmed(pairs, sets, percent), "links", 4 * known)
+    found = scratch.save(components(links, scratch, "first"), "found", total)
 
     # Buckets that still hold different components.
     placed = buckets.join(found.withColumnRenamed("component", "comp"), "node", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = mixed.where("low < high").select("key")
-    placed = scratch.save(placed.join(mixed, "key"), "mixed")
+    placed = scratch.save(placed.join(mixed, "key"), "mixed", known)
     small = placed.where(F.col("members") <= SMALL)
     one = small.select("key", F.col("node").alias("u"), F.col("comp").alias("c"))
     two = small.select("key", F.col("node").alias("v"), F.col("comp").alias("d"))
@@ -246,23 +259,28 @@ def near_duplicates(
     blocks = large.groupBy("key", block.alias("block")).agg(
         F.collect_list(F.struct("node", "comp", "shingles")).alias("members")
     )
-    blocks = scratch.save(blocks, "blocks")
+    blocks = scratch.save(blocks, "blocks", known)
     crossed = scratch.save(block_links(blocks, percent), "crossed")
-    scratch.drop("blocks", "sets")
     stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    everything = stars.union(more).union(crossed)
-    found = scratch.save(components(everything, scratch, "last"), "final")
+    return stars.union(more).union(crossed)
 
-    members = classes.select("g1", "g2", "node", F.col("id").alias("least"))
-    members = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    roots = members.groupBy("c").agg(F.min("least").alias("component_id"))
-    members = scratch.save(members.join(roots, "c").select("g1", "g2", "component_id"), "members")
-    marked = rows.select("k1", "k2", "id", "n", "g1", "g2").distinct()
-    marked = marked.join(members, ["g1", "g2"], "left").select(
-        "k1", "k2", F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-    )
-    marked = marked.withColumn("m1", F.col("k1")).withColumn("m2", F.col("k2")).drop("k1", "k2")
+
+def near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    k: int = WORDS,
+    percent: int = PERCENT,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """``docs``, or the named columns of it, with ``n_shingles``, ``component_id`` (least id of the component) and ``kept``.
+
+    ``kept`` marks the rows with the least id of their component. What is exchanged: per row a
+    digest and ``BANDS`` keys; texts once, of which only candidates' sets are kept; and sets for
+    the candidate pairs.
+    """
+    k1, k2 = row_key(doc_id, text)
+    marked = marked_rows(docs, doc_id, text, k, percent)
     joined = packed(docs, columns, k1=k1, k2=k2).join(marked, F.expr("k1 = m1 AND k2 = m2"))
     component = F.col("component_id")
     return unpacked(
@@ -272,3 +290,23 @@ def near_duplicates(
         component_id=component,
         kept=F.col(f"doc.{quoted(doc_id)}").cast("long").eqNullSafe(component),
     )
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """``docs`` with one row of each component: the least id (nulls last), then the least row hash.
+
+    So rows that repeat an id or another row stay once. Null and blank texts are linked with nothing
+    and all stay. A task sends at most one row per component.
+    """
+    k1, k2 = row_key(doc_id, text)
+    marked = marked_rows(docs, doc_id, text, k, percent)
+    whole = F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])
+    rows = packed(docs, None, k1=k1, k2=k2, whole=whole)
+    rows = rows.join(marked, F.expr("k1 = m1 AND k2 = m2"))
+    id_ = F.col(f"doc.{quoted(doc_id)}").cast("long").asc_nulls_last()
+    place = F.row_number().over(Window.partitionBy("component").orderBy(id_, "whole"))
+    linked = rows.where("component IS NOT NULL").withColumn("place", place).where("place = 1")
+    alone = rows.where("component IS NULL")
+    return unpacked(linked.select("doc").union(alone.select("doc")), docs.columns)

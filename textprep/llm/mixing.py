@@ -35,6 +35,12 @@ class Mix(NamedTuple):
     segments: DataFrame
 
 
+def whole_key(docs: DataFrame, doc_id: str) -> tuple[Column, Column]:
+    """A row's id and the hash of all its values: only rows that are equal throughout are copies."""
+    k1, _ = row_key(doc_id, doc_id)
+    return k1, F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]).alias("k2")
+
+
 def source_targets(
     sizes: DataFrame, weights: tuple[int, ...], max_epochs: int, block: int
 ) -> DataFrame:
@@ -94,18 +100,19 @@ def schedule(sources: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     edges = edges.withColumn("low", F.expr(f"ceil((end - slots) {scale})"))
     edges = edges.withColumn("high", F.expr(f"ceil(end {scale})"))
     edges = edges.select("s", "source_size", "epochs", "rest", "blocks", "slots", "low", "high")
-    edges = scratch.save(edges, "edges")
+    edges = scratch.save(edges, "edges", total)
     runs = edges.select("s", "high", F.explode(F.expr(f"sequence(low, high - 1, {RUN})")).alias("a"))
     points = runs.repartition("s", "a").select(
         "s", F.explode(F.expr(f"sequence(a, least(a + {RUN}, high) - 1)")).alias("point")
     )
     points = points.select("s", bit_reversed("point", bits).alias("slot"))
-    points = scratch.save(points.withColumn("sector", F.expr(f"slot div {RUN}")), "points")
+    points = points.withColumn("sector", F.expr(f"slot div {RUN}"))
+    points = scratch.save(points, "points", 1 << bits)
     earlier = Window.partitionBy("s").orderBy("sector").rowsBetween(Window.unboundedPreceding, -1)
     sectors = points.groupBy("s", "sector").agg(F.count(F.lit(1)).alias("n"))
     sectors = scratch.save(
         sectors.select("s", "sector", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n")),
-        "sectors",
+        "sectors", total,
     )
     inside = Window.partitionBy("s", "sector").orderBy("slot")
     ranked = points.withColumn("i", F.row_number().over(inside)).join(sectors, ["s", "sector"])
@@ -133,7 +140,7 @@ def streams(sized: DataFrame, scratch: Scratch) -> DataFrame:
     sums = sized.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
     sums = scratch.save(
         sums.select("s", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n")),
-        "bucket_sums",
+        "bucket_sums", sized.count(),
     )
     inside = Window.partitionBy("s", "bucket").orderBy("key", "id", "size", "k2")
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -161,17 +168,18 @@ def mix(
     id_ = F.col(quoted(doc_id))
     sized = docs.select(
         id_.alias("id"),
-        *row_key(doc_id, text),
+        *whole_key(docs, doc_id),
         F.col(quoted(source)).alias("source"),
         F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.lit(SEED), id_.cast("string"))).alias("key"),
     )
     sized = scratch.save(sized, "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = scratch.save(source_targets(sizes, weights, max_epochs, block), "sources")
+    rows = sized.count()
+    sources = scratch.save(source_targets(sizes, weights, max_epochs, block), "sources", rows)
     by_source = sources.select(F.col("source").alias("name"), "s")
     numbered = sized.join(by_source, F.col("source").eqNullSafe(F.col("name")))
-    placed = scratch.save(streams(numbered.drop("source", "name"), scratch), "placed")
+    placed = scratch.save(streams(numbered.drop("source", "name"), scratch), "placed", 4 * rows)
 
     pieces = placed.where("size > 0").select(
         "*",
@@ -209,11 +217,12 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix as whole documents: each row as often as the mix begins it, with its columns.
 
-    Copies of one row share what is taken of them.
+    Rows that are equal in all columns share what is taken of them; rows that share only their id and
+    text do not.
     """
     taken = mix(docs, doc_id, text, source).documents.groupBy("k1", "k2")
     taken = taken.agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    k1, k2 = row_key(doc_id, text)
+    k1, k2 = whole_key(docs, doc_id)
     rows = packed(docs, k1=k1, k2=k2).dropDuplicates(["k1", "k2"])
     rows = rows.join(taken.hint("merge"), ["k1", "k2"])
     return unpacked(rows.select("doc", F.explode(F.expr("array_repeat(0, copies)"))), docs.columns)

@@ -431,6 +431,8 @@ def jaccard_links(
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     lists = scratch.save(lists, "tokens", total)
     entries = scratch.save(entries.join(lists, "token"), "entries", total)
+    scratch.drop("tokens")
+    scratch.free_shuffles()
     total, kept = entries.count(), classes.count()
 
     # Sets that may link with any other; the texts of the rest are not read again.
@@ -466,6 +468,8 @@ def jaccard_links(
         stars = scratch.save(stars.select((-F.col("best.u")).alias("u"), "v"), "leaders", kept)
         stars = with_bound(stars, sets).where(F.col("bound") >= FAMILY / 100)
         stars = scratch.save(compared(stars, sets, FAMILY), "stars", 4 * kept)
+        scratch.drop("met", "firsts", "degrees", "leaders")
+        scratch.free_shuffles()
         placed = families(stars, nodes.select("node", "n", "copies"), kept, scratch)
         placed = scratch.save(placed, "families", 4 * kept)
         sizes = placed.groupBy("family").agg(
@@ -481,7 +485,6 @@ def jaccard_links(
         listed = listed.groupBy("token", "family", size_class.alias("size")).agg(
             F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.expr("n - pos")).alias("left")
         )
-        scratch.free_shuffles()
         pairs = close
         for c in "uv":
             to = belongs.select(F.col("node").alias(c), F.col("family").alias(f"family_{c}"))
@@ -504,12 +507,13 @@ def jaccard_links(
         met = pairs.count()
         bases = compared(pairs, sets, 101).drop("removed", "added").join(pairs, ["u", "v"])
         bases = scratch.save(bases, "bases", 4 * met)
+        scratch.drop("close", "pairs", "placed", "blocks", "mixed", "sizes")
+        scratch.free_shuffles()
         union = F.col("nu") + F.col("nv") - F.col("common")
         distance = 1 - F.col("common") / union
         alone = bases.where(F.col("both") & (100 * F.col("common") >= percent * union)).select("u", "v")
         wide = bases.where(~F.col("both") & (distance <= F.col("reach"))).select("u", "v")
         wide = scratch.save(wide, "wide", met)
-        scratch.free_shuffles()
 
         # Members in blocks of one family and size class.
         asked = sizes.where("members > 1").select("family")
@@ -564,7 +568,7 @@ def jaccard_links(
     links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     members = members.join(scratch.save(roots, "roots", kept), "c").select("g1", "g2", "component_id", links)
     members = scratch.save(members, "answers", kept)
-    scratch.drop("sets", "distinct", "stars", "entries", "members", "based", "families", "placed", "blocks")
+    scratch.drop("sets", "distinct", "stars", "entries", "members", "based", "families")
     placed = rows.select("id", "n", "g1", "g2").join(members, ["g1", "g2"], "left")
     return placed.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
