@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -175,6 +177,31 @@ def test_toxicity_by_held_out_accuracy(spark, make_docs, words):
     assert {r.score for r in got if r.doc_id in (9001, 9002)} == {next(r.score for r in got if r.doc_id is None)}
 
 
+def test_a_sent_model_needs_no_copy_of_the_package(spark, tmp_path):
+    """The bytes are loaded by a process that cannot import it, and answer as here."""
+    vectors = [(np.array([0, 1]), np.array([0.6, 0.8])), (np.array([1]), np.array([1.0]))]
+    terms = Terms(np.arange(4), np.ones(4))
+    index = Index([7, 3], [1, 0], vectors, terms)
+    model = toxicity.Model(index, 0.5, 0.1, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    (tmp_path / "model").write_bytes(toxicity.sent(spark, model).value)
+    code = (
+        "import pickle, numpy as np, importlib.util as u; assert u.find_spec('textprep') is None; "
+        "m = pickle.load(open('model', 'rb')); print(m.score(np.array([0, 1]), np.array([1, 1])))"
+    )
+    run = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert run.stdout.strip() == str(model.score(np.array([0, 1]), np.array([1, 1]))), run.stderr
+
+
+def test_equally_near_examples_are_chosen_by_content():
+    vectors = [(np.array([0]), np.array([1.0])) for _ in range(40)]
+    labels = [i % 2 for i in range(40)]
+    terms = Terms(np.arange(4), np.ones(4))
+    for ids in (list(range(40)), list(range(40))[::-1]):
+        best, _ = Index(ids, labels, vectors, terms).nearest(np.array([0]), np.array([1.0]))
+        index = Index(ids, labels, vectors, terms)
+        assert sum(index.labels[best]) == 0  # label 0 first, whatever the ids
+
+
 def test_toxicity_without_usable_labels(spark, make_docs):
     docs = make_docs(["a b c", None])
     none = spark.createDataFrame([], "doc_id long, toxic int")

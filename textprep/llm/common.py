@@ -6,6 +6,7 @@ Code that runs in Python workers is pickled by value, so executors need no copy
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -62,6 +63,7 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Let Spark delete the shuffle files of plans that are no longer referenced."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:

@@ -207,6 +207,12 @@ def compared(pairs: DataFrame, sets: DataFrame, family: int) -> DataFrame:
     )
 
 
+def sets_of(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The sets of ``pairs`` only: both sides of the comparison then exchange just these."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    return scratch.save(sets.join(wanted, "node", "left_semi"), name)
+
+
 def least_shared(one: Column, two: Column, percent: int) -> Column:
     """How many tokens sets of these sizes share at least if they link."""
     return F.ceil(percent * (one + two) / F.lit(100.0 + percent) - 1e-9)
@@ -437,6 +443,7 @@ def jaccard_links(
 
     # Sets that may link with any other; the texts of the rest are not read again.
     close = scratch.save(small_pairs(entries, percent), "close", total)
+    scratch.free_shuffles()
     needed = close.select(F.col("u").alias("node")).union(close.select("v"))
     needed = needed.union(entries.where(F.col("rows") > SMALL).select("node")).distinct()
     nodes = classes.select("node", "k1", "k2", "n", "copies").join(needed, "node")
@@ -467,8 +474,10 @@ def jaccard_links(
         stars = ahead.groupBy("v").agg(F.max(F.struct("c", (-F.col("u")).alias("u"))).alias("best"))
         stars = scratch.save(stars.select((-F.col("best.u")).alias("u"), "v"), "leaders", kept)
         stars = with_bound(stars, sets).where(F.col("bound") >= FAMILY / 100)
-        stars = scratch.save(compared(stars, sets, FAMILY), "stars", 4 * kept)
-        scratch.drop("met", "firsts", "degrees", "leaders")
+        stars = scratch.save(stars.select("u", "v"), "near", kept)
+        scratch.free_shuffles()
+        stars = scratch.save(compared(stars, sets_of(stars, sets, scratch, "sets_led"), FAMILY), "stars", 4 * kept)
+        scratch.drop("met", "firsts", "degrees", "leaders", "near", "sets_led")
         scratch.free_shuffles()
         placed = families(stars, nodes.select("node", "n", "copies"), kept, scratch)
         placed = scratch.save(placed, "families", 4 * kept)
@@ -505,9 +514,11 @@ def jaccard_links(
         pairs = with_bound(pairs, sets).where("1 - bound <= reach")
         pairs = scratch.save(pairs.select("u", "v", "reach", "both"), "plausible")
         met = pairs.count()
-        bases = compared(pairs, sets, 101).drop("removed", "added").join(pairs, ["u", "v"])
+        scratch.free_shuffles()
+        asked = sets_of(pairs, sets, scratch, "asked_sets")
+        bases = compared(pairs, asked, 101).drop("removed", "added").join(pairs, ["u", "v"])
         bases = scratch.save(bases, "bases", 4 * met)
-        scratch.drop("close", "pairs", "placed", "blocks", "mixed", "sizes")
+        scratch.drop("close", "pairs", "placed", "blocks", "mixed", "sizes", "asked_sets")
         scratch.free_shuffles()
         union = F.col("nu") + F.col("nv") - F.col("common")
         distance = 1 - F.col("common") / union

@@ -26,7 +26,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.llm.common import Scratch, packed, quoted, sliced, unpacked
 
@@ -81,7 +82,9 @@ class Index:
 
     def __init__(self, ids, labels, vectors, terms: Terms) -> None:
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
+        # Which of equally near examples comes first follows from their contents, never from ids.
+        content = [t.tobytes() + w.tobytes() for t, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], content[i], labels[i]))
         self.terms = terms
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
@@ -238,6 +241,14 @@ def rising(n: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), b / a) for a, b, k in pools])
 
 
+def sent(spark: SparkSession, model: Model) -> Broadcast[bytes]:
+    """The model in bytes that hold its classes too: executors need no copy of this package.
+
+    Its size is bounded by ``EXAMPLES`` and ``MAX_TERMS``.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> Model | None:
     """The model, or ``None`` without examples of both classes or without informative terms."""
     spark = docs.sparkSession
@@ -280,14 +291,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str)
     prior = toxic / total
     of_blank = (sum(blank) + prior) / (len(blank) + 1)
     model = Model(index, prior, of_blank, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark, model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = cloudpickle.loads(shared.value)
         n, n1 = np.zeros((2, BINS), np.int64)
         for batch in batches:
             for i, y, t, c in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 if t:
-                    height = shared.value.vote(np.array(t), np.array(c), without=i)[0]
+                    height = model.vote(np.array(t), np.array(c), without=i)[0]
                     n[min(int(height * BINS), BINS - 1)] += 1
                     n1[min(int(height * BINS), BINS - 1)] += y
         yield counts_table(n, n1)
@@ -321,12 +333,12 @@ def score_toxicity(
     if model is None:
         scored = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast(evidence_type).alias("evidence"))
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = sent(docs.sparkSession, model)
 
         @F.pandas_udf(f"score double, evidence {evidence_type}")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             memory: dict[bytes, tuple] = {}
-            model = shared.value
+            model = cloudpickle.loads(shared.value)
             for texts in batches:
                 rows = []
                 for t in texts:
