@@ -205,3 +205,29 @@ def test_columns_and_names_of_the_user_do_not_clash(spark, training):
     scored = md.predict(model, table.withColumn("prediction", F.lit(7)))
     assert scored.columns == [*table.columns, "prediction", "base_pred"]
     assert {(r.tokens, r.prediction) for r in scored.collect()} == {("own", 7)}
+
+
+@pytest.mark.parametrize("summary", [2, 1])
+@pytest.mark.parametrize("size", [1, 5, 12, 40, 300])
+def test_summaries_of_tasks_give_the_exact_vocabulary(spark, monkeypatch, summary, size):
+    """Also where a task forgets words again and again, and where the summaries cannot tell."""
+    monkeypatch.setattr(ft, "SUMMARY", summary)
+    rnd = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(250)]
+    weights = [1 / (i + 1) for i in range(250)]
+    rows = [(rnd.choices(vocabulary, weights, k=rnd.randint(0, 30)),) for _ in range(400)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(5)
+    total = Counter(w for (words,) in rows for w in words or [])
+    want = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]
+    got = ft.fit_vocabulary(df, max_features=size, max_n=1)
+    assert [(t.term, t.total) for t in got] == want
+    kept = ft.frequent_words(df, "tokens", size)
+    if kept is not None:
+        assert {w for w, _ in want} <= {r.term for r in kept.collect()}
+
+
+def test_vocabulary_sizes_are_limited(spark):
+    df = spark.createDataFrame([(["a"],)], "tokens array<string>")
+    for size in (0, ft.MAX_VOCABULARY + 1):
+        with pytest.raises(ValueError):
+            ft.fit_vocabulary(df, max_features=size)

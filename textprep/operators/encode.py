@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.operators.features import fit_vocabulary, vocabulary_table, word_tokens
+from textprep.sources.scratch import materialize
 
 MAX_LENGTH = 128
 
@@ -23,7 +24,7 @@ def piece_tokens(c: Column | str) -> Column:
 
 def fit_ids(df: DataFrame, text: str = "text", size: int = 5000) -> DataFrame:
     """Corpus vocabulary ``term, id``: the most frequent words, ids from 4 by rank."""
-    tokens = df.select(piece_tokens(text).alias("tokens"))
+    tokens = materialize(df.select(piece_tokens(text).alias("tokens")), "pieces")
     vocabulary = fit_vocabulary(tokens, "tokens", size, max_n=1)
     ids = (F.col("idx") + FIRST_WORD_ID).alias("id")
     return vocabulary_table(df.sparkSession, vocabulary).select("term", ids)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.functions.text import WORD
+from textprep.sources.scratch import materialize
 
 MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 3)
 
 
+#: A fitted vocabulary is collected, broadcast and kept in the model, so it may not be larger.
+MAX_VOCABULARY = 1_000_000
+#: A task's summary of its words holds this many times ``max_features`` of them.
+SUMMARY = 2
+
+
 class Term(NamedTuple):
     """A vocabulary entry: an n-gram, its length in words and its corpus count."""
 
@@ -82,6 +91,72 @@ def _top(counts: DataFrame, size: int) -> list[Term]:
     return [Term(*row) for row in best.select("term", "n", "total").collect()]
 
 
+def checked_size(size: int) -> int:
+    if not 0 < size <= MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary has 1 to {MAX_VOCABULARY} terms, not {size}")
+    return size
+
+
+def word_summaries(df: DataFrame, tokens: str, capacity: int) -> DataFrame:
+    """``term, n``: each task's most frequent words, ``capacity`` at most, with their counts there.
+
+    A row without a term tells how often, at most, the task holds any word that it left out. Summed
+    over the tasks, counts are lower bounds, off by the sum of those rows at most.
+    """
+
+    def most_frequent(parts: list[pa.Table]) -> tuple[pa.Table, int]:
+        counts = pa.concat_tables(parts).group_by("term").aggregate([("n", "sum")])
+        counts = counts.rename_columns(["term", "n"])
+        if counts.num_rows <= capacity:
+            return counts, 0
+        last = pc.select_k_unstable(counts, capacity + 1, [("n", "descending")])[-1].as_py()
+        bound = counts["n"][last].as_py()
+        return counts.filter(pc.greater(counts["n"], bound)), bound
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, missed = [schema.empty_table()], 0, 0
+        for batch in batches:
+            counted = pc.value_counts(batch.column(0).flatten())
+            held.append(pa.table([counted.field(0), counted.field(1)], schema=schema))
+            size += len(counted)
+            if size > 16 * capacity:  # so a task's memory does not grow with its words
+                kept, bound = most_frequent(held)
+                held, size, missed = [kept], kept.num_rows, missed + bound
+        kept, bound = most_frequent(held)
+        yield from kept.cast(schema).to_batches()
+        yield pa.RecordBatch.from_pylist([{"term": None, "n": missed + bound}], schema)
+
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    return df.select(F.coalesce(tokens, F.array().cast("array<string>"))).mapInArrow(rows, "term string, n long")
+
+
+def frequent_words(df: DataFrame, tokens: str, size: int) -> DataFrame | None:
+    """``term``: words among which the ``size`` most frequent are; ``None`` if summaries cannot tell.
+
+    Whatever is missing from a summary is no more frequent there than the task says. A word whose
+    lower bound and all that may be missing stay below the lower bound in place ``size`` is out.
+    """
+    summary = word_summaries(df, tokens, SUMMARY * size).groupBy("term").agg(F.sum("n").alias("n"))
+    summary = materialize(summary, "summary")
+    missed = summary.where("term IS NULL").select("n").first()
+    known = summary.where("term IS NOT NULL")
+    place = known.orderBy(F.desc("n")).select("n").limit(size).agg(F.min("n"), F.count(F.lit(1))).first()
+    missed, floor = (missed[0] if missed else 0), (place[0] or 0) if place[1] == size else 0
+    # Without a full list, or if a word that no summary holds could be in it, all words count.
+    if missed and missed >= floor:
+        return None
+    return known.where(F.col("n") + missed >= floor).select("term")
+
+
+def count_words(df: DataFrame, tokens: str, size: int) -> DataFrame:
+    """``term, total``, exact, of words among which the ``size`` most frequent are."""
+    words, survivors = _explode(df, tokens), frequent_words(df, tokens, size)
+    if survivors is not None:
+        few = survivors.count() <= MAX_VOCABULARY
+        words = words.join(F.broadcast(survivors) if few else survivors, "term", "left_semi")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+
+
 def fit_vocabulary(
     df: DataFrame,
     tokens: str = "tokens",
@@ -94,12 +169,11 @@ def fit_vocabulary(
     An n-gram is never more frequent than the two (n-1)-grams it consists of, so each pass counts
     only n-grams whose parts beat the current last place. Fewer than ``max_features`` parts can do
     so, which bounds the broadcast, and the result is exact. At most ``max_features`` rows reach
-    the driver per pass.
+    the driver per pass. Words are counted exactly only if the tasks' summaries leave them a place.
     """
     spark = df.sparkSession
     df = df.select(tokens)
-    words = _explode(df, tokens)
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    counts = count_words(df, tokens, checked_size(max_features))
     top = _top(counts.withColumn("n", F.lit(1)), max_features)
     for n in range(2, max_n + 1):
         floor = top[-1].total if len(top) == max_features else 0

@@ -23,6 +23,13 @@ from textprep.schema import BINARY_LABELS
 from textprep.sources.files import materialize
 
 
+#: Vector entries that a task of the solver goes through in an iteration.
+ENTRIES_PER_TASK = 1_000_000
+#: Relative change at which the solver stops. On the 399 labelled rows at sf0.01 it is the loosest
+#: power of ten that leaves no slope of the mean loss over 1e-4, which is where the surveyed solver
+#: stops: 4.0e-5 after 327 iterations, against 1.05e-4 after 267 at 1e-5. See ``linear.certify``.
+TOLERANCE = 1e-6
+
 #: Columns the model adds on its way; a table that has them is scored without them.
 WORKING_COLUMNS = (
     "tokens", "grams", "tf", "tfidf", "features", "rawPrediction", "probability", "prediction"
@@ -77,14 +84,17 @@ def fit_classifier(
     vectors = features.transform(keep_labels(train, BINARY_LABELS, label))
     vectors = vectors.select(F.col(label).cast("double").alias(label), "features")
     vectors = materialize(vectors, "vectors")
-    weighted = with_class_weight(vectors, label, BINARY_LABELS)
-    n = vectors.count()
+    entries = F.size(F.unwrap_udt("features")["indices"])
+    n, stored = vectors.agg(F.count(F.lit(1)), F.sum(entries)).first()
+    # Every iteration is a job: small data is better off in few tasks.
+    few = vectors.coalesce((stored or 0) // ENTRIES_PER_TASK + 1)
+    weighted = with_class_weight(few, label, BINARY_LABELS)
     lr = LogisticRegression(
         featuresCol="features",
         labelCol=label,
         weightCol="weight",
         maxIter=max_iter,
-        tol=1e-6,
+        tol=TOLERANCE,
         regParam=1.0 / (c * n),
         elasticNetParam=0.0,
         standardization=False,

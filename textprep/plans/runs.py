@@ -154,10 +154,12 @@ def train_files(
     marked: bool = False,
     max_features: int = 5000,
     multi_line: bool = True,
+    strip_label: bool = False,
 ) -> Baseline:
     """Train on CSV files and save the model; absent dev and test files are done without.
 
-    ``marked`` files carry their label as a marker inside the text. The reports are computed here;
+    ``marked`` files carry their label as a marker inside the text, which ``strip_label`` hides from
+    the model. The reports are computed here;
     they hold a few rows.
     """
     columns = ["text"] if marked else ["text", "label"]
