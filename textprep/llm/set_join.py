@@ -210,7 +210,7 @@ def compared(pairs: DataFrame, sets: DataFrame, family: int) -> DataFrame:
 def sets_of(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The sets of ``pairs`` only: both sides of the comparison then exchange just these."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    return scratch.save(sets.join(wanted, "node", "left_semi"), name)
+    return scratch.save(sets.select("node", "tokens").join(wanted.hint("merge"), "node", "left_semi"), name)
 
 
 def least_shared(one: Column, two: Column, percent: int) -> Column:
@@ -529,7 +529,8 @@ def jaccard_links(
         # Members in blocks of one family and size class.
         asked = sizes.where("members > 1").select("family")
         asked = asked.union(wide.select("u")).union(wide.select("v")).distinct()
-        grouped = placed.withColumn("size", size_class).join(scratch.save(asked, "asked", kept), "family")
+        asked = scratch.save(asked, "asked", kept)
+        grouped = placed.withColumn("size", size_class).join(asked, "family")
         counts = grouped.groupBy("family", "size").agg(
             F.count(F.lit(1)).alias("count"), F.max("n").alias("longest")
         )
@@ -553,7 +554,8 @@ def jaccard_links(
             F.col("a.block").alias("b1"), F.col("b.block").alias("b2"), F.lit(False).alias("kin")
         )
         work = scratch.save(kin.union(apart), "work", kept + met)
-        based = blocks.join(sets, F.col("family") == F.col("node"))
+        leading = sets.select("node", "tokens").join(asked.select(F.col("family").alias("node")), "node", "left_semi")
+        based = blocks.join(scratch.save(leading, "leading"), F.col("family") == F.col("node"))
         based = scratch.save(based.select("block", "tokens", "members"), "based", 8 * kept)
         for i in "12":
             side = based.select(
