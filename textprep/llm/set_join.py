@@ -432,6 +432,8 @@ def jaccard_links(
     classes = classes.withColumn("node", F.monotonically_increasing_id())
     classes = classes.select("node", "g1", "g2", "least", "row.*", "n", "copies", "prefix")
     classes = scratch.save(classes, "classes", 4 * rows.count())
+    rows = scratch.save(rows.select("id", "n", "g1", "g2"), "documents", rows.count())
+    scratch.drop("rows")
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
@@ -440,6 +442,8 @@ def jaccard_links(
     scratch.drop("tokens")
     scratch.free_shuffles()
     total, kept = entries.count(), classes.count()
+    classes = scratch.save(classes.drop("prefix"), "slim", kept)
+    scratch.drop("classes")
 
     # Sets that may link with any other; the texts of the rest are not read again.
     close = scratch.save(small_pairs(entries, percent), "close", total)
