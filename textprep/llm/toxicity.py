@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -83,7 +84,7 @@ class Index:
     def __init__(self, ids, labels, vectors, terms: Terms) -> None:
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
         # Which of equally near examples comes first follows from their contents, never from ids.
-        content = [t.tobytes() + w.tobytes() for t, w in vectors]
+        content = [xxhash.xxh3_64_intdigest(t.tobytes() + w.tobytes()) for t, w in vectors]
         order = sorted(range(len(ids)), key=lambda i: (heaviest[i], content[i], labels[i]))
         self.terms = terms
         self.ids = np.array([ids[i] for i in order], np.int64)
