@@ -231,3 +231,12 @@ def test_vocabulary_sizes_are_limited(spark):
     for size in (0, ft.MAX_VOCABULARY + 1):
         with pytest.raises(ValueError):
             ft.fit_vocabulary(df, max_features=size)
+
+
+def test_parts_of_counted_documents_grow_with_their_texts(corpus, texts, monkeypatch):
+    monkeypatch.setattr(ft, "TEXT_PER_TASK", 100, raising=False)
+    size = sum(len((t or "").encode()) for t in texts)
+    counted = ft.term_counts(corpus.union(corpus), "doc_id")
+    assert counted.rdd.getNumPartitions() == 2 * size // 100 + 1
+    got = {(r.doc_id, r.term): r.tf for r in counted.collect()}
+    assert got == {(i, g): 2 * c for i, t in enumerate(texts) for g, c in Counter(grams(t or "")).items()}

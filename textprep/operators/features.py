@@ -22,6 +22,8 @@ NGRAM_RANGE = (1, 3)
 MAX_VOCABULARY = 1_000_000
 #: A task's summary of its words holds this many times ``max_features`` of them.
 SUMMARY = 2
+#: Bytes of text whose n-grams a task counts by document.
+TEXT_PER_TASK = 4 << 20
 
 
 class Term(NamedTuple):
@@ -69,6 +71,16 @@ def _explode(df: DataFrame, terms: str, *keep: str) -> DataFrame:
     return exploded.where(F.col("term").isNotNull())
 
 
+def placed_by_id(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id`` and ``text``, placed by id in parts of about ``TEXT_PER_TASK`` bytes of text.
+
+    Documents' n-grams take many times the room of their texts, so the number of parts grows with the
+    texts and a task's table of n-grams does not.
+    """
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.select(doc_id, text).repartition(size // TEXT_PER_TASK + 1, doc_id)
+
+
 def term_counts(
     df: DataFrame, doc_id: str, text: str = "text", ngram_range: tuple[int, int] = NGRAM_RANGE
 ) -> DataFrame:
@@ -77,7 +89,7 @@ def term_counts(
     Texts are placed by id before they are cut into terms, so the exchange carries the texts and
     not the much longer list of their n-grams.
     """
-    placed = df.select(doc_id, text).repartition(doc_id)
+    placed = placed_by_id(df, doc_id, text)
     tokens = placed.select(doc_id, word_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
     terms = tokens.select(doc_id, ngrams("tokens", ngram_range).alias("grams"))
     return _explode(terms, "grams", doc_id).groupBy(doc_id, "term").agg(
