@@ -150,3 +150,13 @@ def test_runs_leave_no_scratch_tables(spark, tmp_path):
     encoded = runs.encode_file(spark, f"{out}/in.csv", f"{out}/encoded", max_length=8)
     assert encoded.count() == 40 and {r.labels for r in encoded.collect()} == {0, 1, 2}
     assert set(base.iterdir()) == before
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables not present")
+def test_no_task_writes_a_place_of_the_folder_as_a_whole(spark, monkeypatch, tmp_path):
+    from textprep.catalog import file_queries
+
+    monkeypatch.setattr(file_queries.files, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = file_queries._rows_of_folder(spark, "/root/testdata/sf0.001", 7)
+    sizes = [p.stat().st_size for p in (tmp_path / "folder").rglob("part-*")]
+    assert max(sizes) < sum(sizes) / 2 and rows.count() > 0

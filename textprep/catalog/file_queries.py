@@ -63,11 +63,15 @@ _BY_CONTENT = (
 )
 
 
-def _rows_of_folder(spark, sf_dir, n_files: int):
-    """Parsed lines from files of very different sizes, named by their content."""
+def _rows_of_folder(spark, sf_dir, n_places: int):
+    """Parsed lines from files of very different sizes, named by their content.
+
+    Most lines lie in one place; each task writes a file for every place, so none writes or reads a
+    place as a whole.
+    """
     path = files.scratch_path(spark, "folder")
-    place = F.when(F.col("doc_id") % 5 > 0, 0).otherwise(F.col("doc_id") % n_files)
-    inputs.lines(spark, sf_dir).repartition(n_files, place).select("raw").write.text(path)
+    place = F.when(F.col("doc_id") % 5 > 0, 0).otherwise(F.col("doc_id") % n_places).alias("place")
+    inputs.lines(spark, sf_dir).select("raw", place).write.partitionBy("place").text(path)
     parsed = jobs.parse_lines(files.read_text_lines(spark, path), label_codes("english"))
     return identified(combine.keep_labels(parsed.select("text", "label_str", "label")))
 
