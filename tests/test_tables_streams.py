@@ -196,3 +196,13 @@ def test_the_certificate_is_the_derivative_of_the_objective(spark, fitted):
 
     assert math.isclose(loss(classifier.coefficients.toArray()), good.objective, rel_tol=1e-9)
     assert loss(beta) > good.objective - good.gap
+
+
+def test_only_terms_of_the_table_are_counted_by_document(spark, fitted):
+    """N-grams are looked up before they are counted, not all counted first."""
+    train, model = fitted
+    plan = linear.score_by_join(train, model, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("count(1)") < plan.index("Join LeftOuter") and "idx" in plan.split("count(1)")[0].splitlines()[-1]
+    twice = linear.score_by_join(train.union(train), model, "doc_id")
+    once = {r.doc_id: r.margin for r in linear.score_by_join(train, model, "doc_id").collect()}
+    assert all(math.isclose(once[r.doc_id], r.margin, abs_tol=1e-9) for r in twice.collect())

@@ -49,8 +49,9 @@ def ngrams_sql(tokens: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> str:
     """SQL expression for all n-grams of an array column, shorter ones first."""
     parts = []
     for n in range(ngram_range[0], ngram_range[1] + 1):
-        words = ", ".join(f"{tokens}[i + {k}]" for k in range(n))
-        window = f"transform(sequence(0, size({tokens}) - {n}), i -> concat_ws(' ', {words}))"
+        words = "".join(f", ' ', {tokens}[i + {k}]" for k in range(1, n))
+        firsts = f"slice({tokens}, 1, size({tokens}) - {n - 1})"
+        window = f"transform({firsts}, (word, i) -> concat(word{words}))"
         none = "cast(array() AS array<string>)"
         parts.append(tokens if n == 1 else f"if(size({tokens}) < {n}, {none}, {window})")
     return f"concat({', '.join(parts)})"

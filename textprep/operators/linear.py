@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.operators.features import ngrams, vector_entries, word_tokens
+from textprep.operators.features import ngrams, placed_by_id, vector_entries, word_tokens
 from textprep.operators.metrics import with_class_weight
 from textprep.operators.combine import keep_labels
 from textprep.schema import BINARY_LABELS
@@ -39,40 +39,45 @@ def coefficient_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(pa.table(table))
 
 
-def term_frequencies(
-    df: DataFrame, doc_id: str, text: str = "text", max_n: int = 3
-) -> DataFrame:
-    """``doc_id, term, tf`` over all n-grams; a document without any has one row with a null term.
+def document_grams(df: DataFrame, doc_id: str, text: str = "text", max_n: int = 3) -> DataFrame:
+    """``doc_id, term``, one row per n-gram; a document without any has one row with a null term.
 
     One exchange, of the texts by id, as :func:`textprep.operators.features.term_counts`.
     """
-    placed = df.select(doc_id, text).repartition(doc_id)
+    placed = placed_by_id(df, doc_id, text)
     tokens = placed.select(doc_id, word_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    terms = tokens.select(doc_id, F.explode_outer(ngrams("tokens", (1, max_n))).alias("term"))
-    return terms.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.select(doc_id, F.explode_outer(ngrams("tokens", (1, max_n))).alias("term"))
+
 
+#: How often each document holds which term of the table. What the table does not hold makes one row
+#: of a document, without an index: n-grams are looked up before they are counted, as most occur once.
+FREQUENCY_SQL = """
+SELECT g.{key}, c.idx, count(*) AS tf, any_value(c.idf) AS idf, any_value(c.weight) AS weight
+FROM {grams} g LEFT JOIN {coefficients} c ON g.term = c.term AND c.idx >= 0
+GROUP BY g.{key}, c.idx
+"""
 
 #: A sparse dot product per document: tf-idf over its norm, times the weights. Terms that are not in
 #: the table do not count; a document without terms scores the intercept.
-SCORE_SQL = """
-SELECT t.{key}, coalesce(sum(t.tf * c.idf * c.weight) / sqrt(sum(t.tf * c.idf * t.tf * c.idf)), 0D)
+SCORE_SQL = f"""
+SELECT t.{{key}}, coalesce(sum(t.tf * t.idf * t.weight) / sqrt(sum(t.tf * t.idf * t.tf * t.idf)), 0D)
          + any_value(i.weight) AS margin
-FROM {terms} t LEFT JOIN {coefficients} c ON t.term = c.term AND c.idx >= 0
-CROSS JOIN (SELECT weight FROM {coefficients} WHERE idx = -1) i
-GROUP BY t.{key}
+FROM ({FREQUENCY_SQL}) t
+CROSS JOIN (SELECT weight FROM {{coefficients}} WHERE idx = -1) i
+GROUP BY t.{{key}}
 """
 
 #: What each term adds to the margin of each document.
-CONTRIBUTION_SQL = """
-SELECT {key}, term, tfidf / sqrt(sum(tfidf * tfidf) OVER (PARTITION BY {key})) * weight AS contribution
-FROM (SELECT t.{key}, t.term, t.tf * c.idf AS tfidf, c.weight
-      FROM {terms} t JOIN {coefficients} c ON t.term = c.term AND c.idx >= 0)
+CONTRIBUTION_SQL = f"""
+SELECT {{key}}, term, tfidf / sqrt(sum(tfidf * tfidf) OVER (PARTITION BY {{key}})) * weight AS contribution
+FROM (SELECT t.{{key}}, c.term, t.tf * t.idf AS tfidf, t.weight
+      FROM ({FREQUENCY_SQL}) t JOIN {{coefficients}} c ON t.idx = c.idx)
 """
 
 
-def _with_views(sql: str, terms: DataFrame, coefficients: DataFrame, key: str) -> DataFrame:
-    spark = terms.sparkSession
-    frames = {"terms": terms, "coefficients": F.broadcast(coefficients)}
+def _with_views(sql: str, grams: DataFrame, coefficients: DataFrame, key: str) -> DataFrame:
+    spark = grams.sparkSession
+    frames = {"grams": grams, "coefficients": F.broadcast(coefficients)}
     return spark.sql(sql.replace("{key}", key), **frames)
 
 
@@ -81,8 +86,8 @@ def score_by_join(df: DataFrame, model: PipelineModel, doc_id: str, text: str =
 
     Rows that share an id are scored as one document.
     """
-    terms = term_frequencies(df, doc_id, text)
-    scored = _with_views(SCORE_SQL, terms, coefficient_table(df.sparkSession, model), doc_id)
+    grams = document_grams(df, doc_id, text)
+    scored = _with_views(SCORE_SQL, grams, coefficient_table(df.sparkSession, model), doc_id)
     return scored.withColumn("prediction", (F.col("margin") > 0).cast("int"))
 
 
@@ -90,8 +95,8 @@ def term_contributions(
     df: DataFrame, model: PipelineModel, doc_id: str, text: str = "text"
 ) -> DataFrame:
     """``doc_id, term, contribution``; with the intercept they sum to the margin."""
-    terms = term_frequencies(df, doc_id, text)
-    return _with_views(CONTRIBUTION_SQL, terms, coefficient_table(df.sparkSession, model), doc_id)
+    grams = document_grams(df, doc_id, text)
+    return _with_views(CONTRIBUTION_SQL, grams, coefficient_table(df.sparkSession, model), doc_id)
 
 
 def margins(model: PipelineModel, df: DataFrame) -> DataFrame:
