@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textprep.operators import identity, sampling
 from textprep.operators.identity import identified
 from textprep.plans import runs
-from textprep.sources import files
+from textprep.sources import csv_records, files
 from textprep.sources.csv_records import ends_inside
 
 HEADER = "text,label,note\n"
@@ -119,3 +119,29 @@ def test_samples_and_splits_do_not_depend_on_files(spark, tmp_path):
         for name in ("one", "seven")
     ]
     assert sorted(map(str, split[0].collect())) == sorted(map(str, split[1].collect()))
+
+
+def test_small_splits_share_tasks_and_batches_are_small(spark, tmp_path):
+    rows = [(i, 'x' + 'a,\n"b" ' * (i % 7) + 'y') for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, text string").coalesce(1)
+    path = str(tmp_path / "rows")
+    files.write_csv(df, path)
+    seen = []
+
+    def scanned(lines, *args):
+        seen.append((lines.rdd.getNumPartitions(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return transitions(lines, *args)
+
+    transitions, csv_records.transitions = csv_records.transitions, scanned
+    try:
+        got = files.read_csv(spark, path, "i int, text string", split_bytes=200)
+    finally:
+        csv_records.transitions = transitions
+    assert sorted(map(tuple, got.collect())) == rows
+    tasks, batch = seen[0]
+    assert tasks <= 2 * spark.sparkContext.defaultParallelism and int(batch) <= 500
+
+
+def test_sizes_of_settings():
+    sizes = [csv_records.size_in_bytes(s) for s in ("128MB", "134217728b", "134217728", "1g", "64k", "2 MiB".replace(" ", ""))]
+    assert sizes == [2**27, 2**27, 2**27, 2**30, 2**16, 2**21]

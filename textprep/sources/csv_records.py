@@ -17,16 +17,19 @@ record runs to its end, without the final line break.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import nullcontext
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from textprep.sources.scratch import materialize
+from textprep.sources.scratch import batches_of, materialize, session_setting
 
 QUOTE = b'"'
+#: Lines that are sent to Python at once: a line may be a whole text.
+LINES_A_BATCH = 500
 OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
 PLACE = ("row_file", "row_block", "row_id")
 
@@ -167,16 +170,24 @@ def cut_records(
     )
 
 
-@contextmanager
-def splits_of(spark: SparkSession, size: int) -> Iterator[None]:
+def splits_of(spark: SparkSession, size: int):
     """Actions inside read files in splits of at most ``size`` bytes."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return session_setting(spark, "spark.sql.files.maxPartitionBytes", size)
+
+
+def size_in_bytes(setting: str) -> int:
+    """Bytes of a setting such as ``128MB``, ``134217728b`` or ``134217728``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", setting.strip().lower()).groups()
+    return int(number) << 10 * ("kmgtp".index(unit) + 1 if unit else 0)
+
+
+def tasks_of(lines: DataFrame, split_bytes: int | None, usual: int) -> int:
+    """Tasks for splits of ``split_bytes``: as many as for usual ones, but work for all cores."""
+    splits = lines.rdd.getNumPartitions()
+    if not split_bytes or split_bytes >= usual:
+        return splits
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(splits, max(2 * cores, -(-splits * split_bytes // usual))))
 
 
 def read_records(
@@ -192,14 +203,18 @@ def read_records(
 
     The files are scanned twice, and the parsed rows stored in the shared scratch folder. ``place``
     adds the columns ``PLACE``, which put rows in file order. ``split_bytes`` replaces the session's
-    ``spark.sql.files.maxPartitionBytes`` for the scans.
+    ``spark.sql.files.maxPartitionBytes`` for the scans; a task takes as many smaller splits as
+    make a split of the usual size, so tasks and stored files do not become more.
     """
-    with splits_of(spark, split_bytes) if split_bytes else nullcontext():
+    usual = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    splits = splits_of(spark, split_bytes) if split_bytes else nullcontext()
+    with splits, batches_of(spark, LINES_A_BATCH):
         lines = spark.read.option("lineSep", "\n").text(path).select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.col("value").cast("binary").alias("value"),
         )
+        lines = lines.coalesce(tasks_of(lines, split_bytes, usual))
         mark = separator.encode()
         scanned = transitions(lines, mark).collect()
         starts = composed(scanned)

@@ -49,6 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def session_setting(spark: SparkSession, name: str, value: int) -> Iterator[None]:
+    """Actions inside run with another value of a setting of the session."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Actions inside send at most ``rows`` rows at once to Python, where a row holds a whole text."""
+    return session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
