@@ -240,3 +240,14 @@ def test_parts_of_counted_documents_grow_with_their_texts(corpus, texts, monkeyp
     assert counted.rdd.getNumPartitions() == 2 * size // 100 + 1
     got = {(r.doc_id, r.term): r.tf for r in counted.collect()}
     assert got == {(i, g): 2 * c for i, t in enumerate(texts) for g, c in Counter(grams(t or "")).items()}
+
+
+def test_words_are_summarised_in_small_batches(spark, monkeypatch):
+    seen = []
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    stored = ft.materialize
+    monkeypatch.setattr(ft, "materialize", lambda df, what: seen.append(int(spark.conf.get(name))) or stored(df, what))
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(["a", "b", "a"],)] * 3, "tokens array<string>")
+    assert [tuple(t) for t in ft.fit_vocabulary(df, max_n=1)] == [("a", 1, 6), ("b", 1, 3)]
+    assert seen and max(seen) <= 200 and spark.conf.get(name) == before

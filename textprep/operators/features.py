@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textprep.functions.text import WORD
-from textprep.sources.scratch import materialize
+from textprep.sources.scratch import batches_of, materialize
 
 MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 3)
@@ -22,6 +22,8 @@ NGRAM_RANGE = (1, 3)
 MAX_VOCABULARY = 1_000_000
 #: A task's summary of its words holds this many times ``max_features`` of them.
 SUMMARY = 2
+#: Texts whose words are sent to Python at once.
+TEXTS_A_BATCH = 200
 #: Bytes of text whose n-grams a task counts by document.
 TEXT_PER_TASK = 4 << 20
 
@@ -150,7 +152,8 @@ def frequent_words(df: DataFrame, tokens: str, size: int) -> DataFrame | None:
     lower bound and all that may be missing stay below the lower bound in place ``size`` is out.
     """
     summary = word_summaries(df, tokens, SUMMARY * size).groupBy("term").agg(F.sum("n").alias("n"))
-    summary = materialize(summary, "summary")
+    with batches_of(df.sparkSession, TEXTS_A_BATCH):
+        summary = materialize(summary, "summary")
     missed = summary.where("term IS NULL").select("n").first()
     known = summary.where("term IS NOT NULL")
     place = known.orderBy(F.desc("n")).select("n").limit(size).agg(F.min("n"), F.count(F.lit(1))).first()
