@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from textprep.catalog import inputs
@@ -98,24 +97,18 @@ def vocabulary(spark, sf_dir):
     return ft.vocabulary_table(spark, ft.fit_vocabulary(df)).drop("idx")
 
 
-def _counted(df):
-    """The tf vectors of ``df``, with the vocabulary table of indexed terms; texts are cut once."""
-    tokens = files.materialize(md.token_stage("text").transform(df).select("tokens"), "tokens")
-    vocabulary = ft.fit_vocabulary(tokens)
-    counting = PipelineModel([md.gram_stage(3), ft.count_vectorizer(vocabulary)])
-    index = ft.vocabulary_table(df.sparkSession, vocabulary).select("idx", "term")
-    return counting.transform(tokens), F.broadcast(index)
-
-
 @query(
     "WITH " + sql_grams("documents", "doc_id") + ", " + sql_vocabulary("documents") + ", "
     + sql_idf("documents", "doc_id") + " SELECT term, df, round(idf, 9) AS idf FROM idf"
 )
 def idf(spark, sf_dir):
     docs = inputs.documents(spark, sf_dir).select("text")
-    vectors, index = _counted(docs)
-    n_docs = docs.count()
-    df = ft.document_frequency(vectors).join(index, "idx")
+    tokens = md.token_stage("text").transform(docs).select(F.array_join("tokens", " ").alias("tokens"))
+    tokens = files.materialize(tokens, "tokens")
+    vocabulary, coded = ft.fit_coded_vocabulary(tokens, "tokens", ft.MAX_FEATURES, 3)
+    index = ft.vocabulary_table(spark, vocabulary).select("idx", "term")
+    n_docs = coded.table.count()
+    df = ft.documents_of_terms(coded, vocabulary).join(F.broadcast(index), "idx")
     value = F.ln((1.0 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
     return df.select("term", "df", F.round(value, 9).alias("idf"))
 

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, functions as F
 from textprep.operators.features import (
     MAX_FEATURES,
     NGRAM_RANGE,
+    Term,
+    VocabularyGrams,
     count_vectorizer,
-    fit_idf,
-    fit_vocabulary,
+    fit_coded_vocabulary,
+    idf_of_terms,
     idf_stages,
-    ngrams_sql,
     token_pattern,
 )
 from textprep.operators.combine import keep_labels
+from textprep.operators.identity import quoted
 from textprep.operators.metrics import with_class_weight
 from textprep.schema import BINARY_LABELS
 from textprep.sources.files import materialize
@@ -36,19 +38,17 @@ WORKING_COLUMNS = (
 )
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def token_stage(text: str) -> SQLTransformer:
     pattern = token_pattern().replace("\\", "\\\\")
     tokens = f"regexp_extract_all(lower(coalesce({quoted(text)}, '')), '{pattern}', 0)"
     return SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__")
 
 
-def gram_stage(max_n: int) -> SQLTransformer:
-    grams = ngrams_sql("tokens", (1, max_n))
-    return SQLTransformer(statement=f"SELECT *, {grams} AS grams FROM __THIS__")
+def counting_stages(vocabulary: list[Term]) -> list:
+    """``tokens`` -> ``grams``, those of the vocabulary only -> ``tf`` vector."""
+    terms = [t.term for t in vocabulary]
+    grams = VocabularyGrams(inputCol="tokens", outputCol="grams", terms=terms)
+    return [grams, count_vectorizer(vocabulary)]
 
 
 def fit_features(
@@ -59,13 +59,12 @@ def fit_features(
 ) -> PipelineModel:
     """Fit vocabulary and idf; the model turns ``text`` into the ``features`` vector."""
     tokenizer = token_stage(text)
-    tokens = materialize(tokenizer.transform(train.select(quoted(text))).select("tokens"), "tokens")
-    vocabulary = fit_vocabulary(tokens, "tokens", max_features, max_n)
+    tokens = tokenizer.transform(train.select(quoted(text))).select(F.array_join("tokens", " ").alias("tokens"))
+    vocabulary, coded = fit_coded_vocabulary(materialize(tokens, "tokens"), "tokens", max_features, max_n)
     if not vocabulary:
         raise ValueError("the training texts hold no terms")
-    counting = [gram_stage(max_n), count_vectorizer(vocabulary)]
-    weights = fit_idf(PipelineModel(counting).transform(tokens).select("tf"))
-    return PipelineModel([tokenizer, *counting, *idf_stages(weights)])
+    counting = counting_stages(vocabulary)
+    return PipelineModel([tokenizer, *counting, *idf_stages(idf_of_terms(coded, vocabulary))])
 
 
 def fit_classifier(
